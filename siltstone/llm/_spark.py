@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = 512
 
 
-def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small, unless the session has its own setting."""
+def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Keep Arrow batches to so many rows, unless the session has fewer already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(ARROW_ROWS))
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
