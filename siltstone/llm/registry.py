@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("substring_dedup", "quality", "topk", "exact_dedup", "toxicity", "packing", "token_counts", "language_id", "near_dedup")
+MODULES = ("substring_dedup", "quality", "topk", "exact_dedup", "toxicity", "packing", "token_counts", "mixing", "language_id", "near_dedup")
 
 
 def _all(name: str) -> dict:
