@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from . import queries as _queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(_queries.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_queries.SQL)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much deduplication saves, by language."""
+    return _queries.a17_dedup_by_language(spark, sf_dir)
