@@ -24,7 +24,7 @@ from ._spark import table
 MOST, BITS, CUT = 10_000, 18, 0.7
 
 
-def descend(idx: np.ndarray, ptr: np.ndarray, scale: np.ndarray, norm: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+def descend(idx: np.ndarray, ptr: np.ndarray, scale: np.ndarray, norm: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 12, seed: int = 7, close: float = 1e-3) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss of unit rows scale[idx] / norm, with a bias feature of 1."""
     w, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(y))
     rows = [(idx[ptr[i] : ptr[i + 1]], scale[idx[ptr[i] : ptr[i + 1]]] / norm[i]) for i in range(len(y))]
@@ -41,7 +41,7 @@ def descend(idx: np.ndarray, ptr: np.ndarray, scale: np.ndarray, norm: np.ndarra
                 bias += step
                 most = max(most, abs(new - alpha[i]))
                 alpha[i] = new
-        if most < 1e-3:
+        if most < close:
             break
     return w, bias
 
