@@ -85,6 +85,34 @@ def decompress(blobs: DataFrame) -> DataFrame:
     return blobs.select("key", "codec", "ulen", "payload").mapInArrow(rows, "key long, data binary")
 
 
+def recoded(parts: DataFrame, codec: int, level: int = 9, dictionary: bytes = b"") -> DataFrame:
+    """parts (key, data) through one codec and back: key, clen, data; dictionary: for the codecs that take one."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [x.as_py() or b"" for x in b.column(1)]
+            packed = [kernels.encode(x, codec, level, dictionary) for x in data]
+            back = [kernels.decode(z, codec, len(x), dictionary) for x, z in zip(data, packed)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(z) for z in packed], pa.int64()), pa.array(back, pa.binary())], ["key", "clen", "data"])
+
+    return parts.select("key", F.col("data").cast("binary")).mapInArrow(rows, "key long, clen long, data binary")
+
+
+def deltas(pairs: DataFrame, level: int = 9) -> DataFrame:
+    """pairs (key, data, base) with the data coded against its base as a prefix, and back: key, clen, alone, data."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                z, alone = kernels.encode(x or b"", 5 if d else 1, level, d or b""), len(kernels.encode(x or b"", 1, level))
+                out.append((len(z), alone, kernels.decode(z, 5 if d else 1, len(x or b""), d or b"")))
+            kinds = [pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, kinds))], ["key", "clen", "alone", "data"])
+
+    return pairs.select("key", F.col("data").cast("binary"), F.col("base").cast("binary")).mapInArrow(rows, "key long, clen long, alone long, data binary")
+
+
 def best_of(trials: DataFrame) -> DataFrame:
     """Of trials (key, codec, try_order, clen, ulen) the shortest, the first of equals, stored as it is if none is shorter."""
     best = trials.groupBy("key").agg(F.min_by(F.struct("codec", "clen"), F.struct("clen", "try_order")).alias("b"), F.first("ulen").alias("ulen"))

@@ -144,3 +144,23 @@ def adler32(data):
 def nfc(path):
     """A path in composed form."""
     return F.udf(lambda x: None if x is None else kernels.nfc(x), "string")(path)
+
+
+def section_faults(sections: DataFrame, length: int, by: str = "archive") -> DataFrame:
+    """Sections (by, ix, off, len, h, got) out of bounds, over the next one, or with another hash: by, ix, fault."""
+    from pyspark.sql import Window
+
+    end = F.col("off") + F.col("len")
+    after = F.lead("off").over(Window.partitionBy(by).orderBy("off"))
+    fault = F.when(end > length, "bounds").when(end > F.col("next"), "overlap").when(F.col("h") != F.col("got"), "hash")
+    return sections.withColumn("next", after).select(by, "ix", fault.alias("fault")).where("fault is not null")
+
+
+def bases_of(edges: DataFrame, targets: list[int], most: int = 16) -> DataFrame:
+    """All blobs that the targets are decoded from, by steps: target, base, step; edges: blob, base."""
+    live = edges.where(F.col("blob").isin(targets)).select(F.col("blob").alias("target"), "base", F.lit(1).alias("step"))
+    out = live
+    for k in range(2, most + 1):
+        live = live.select("target", F.col("base").alias("blob")).join(edges, "blob").select("target", "base", F.lit(k).alias("step"))
+        out = out.unionAll(live)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import queries as _queries
+from . import queries_more as _more  # noqa: F401  it registers its queries
 
 
 def queries() -> dict:
