@@ -36,8 +36,8 @@ class Model:
 
     score = lambda self, idx, ptr: L.sigmoid(self.margin(idx, ptr))
 
-    def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 80, rate: float = 0.1, ridge: float = 1e-3, least: float = 6.0, seed: int = 7) -> Model:
-        """Adam on the non-negative risk with the logistic loss.
+    def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 60, rate: float = 0.1, ridge: float = 3e-5, least: float = 6.0, seed: int = 7) -> Model:
+        """Adam on the non-negative risk, `rounds` with the logistic loss, and as many with the sigmoid loss from there.
 
         Only buckets that differ between positive and unlabelled texts by at least `least` standard errors, and are in
         five texts or more, get a weight: a bucket that is as usual in both says nothing.
@@ -55,7 +55,8 @@ class Model:
         w, b = np.zeros(dims), float(np.log(prior / (1 - prior)))
         m, v, mb, vb, t = np.zeros(dims), np.zeros(dims), 0.0, 0.0, 0
         rng, parts = np.random.default_rng(seed), max(1, len(unlabelled) // 400)
-        for _ in range(rounds):
+        for turn in range(2 * rounds):
+            bounded = turn >= rounds
             order = zip(np.array_split(rng.permutation(len(positive)), parts), np.array_split(rng.permutation(len(unlabelled)), parts))
             for some_p, some_u in order:
                 if not len(some_p):
@@ -64,10 +65,12 @@ class Model:
                 f = _features.by_doc(w[idx], ptr) + b
                 p = np.arange(len(f)) < len(some_p)
                 s, each = L.sigmoid(f), np.where(p, prior / len(some_p), 1 / len(some_u))
-                as_negative = np.logaddexp(0, f)
+                # losses as a negative and as a positive, and their slopes
+                as_negative = s if bounded else np.logaddexp(0, f)
+                up, down = (s * (1 - s),) * 2 if bounded else (s, 1 - s)
                 negative = (each * as_negative)[~p].sum() - (each * as_negative)[p].sum()
-                d = np.where(p, -each, each) * s  # of the risk as negatives
-                d = -d if negative < 0 else d + np.where(p, each, 0) * (s - 1)
+                d = np.where(p, -each, each) * up  # of the risk as negatives
+                d = -d if negative < 0 else d - np.where(p, each, 0) * down
                 g = np.bincount(idx, weights=np.repeat(d, np.diff(ptr)), minlength=dims) + ridge * w
                 gb, t = d.sum(), t + 1
                 m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
