@@ -39,10 +39,10 @@ def markdown_rows(entries: DataFrame) -> DataFrame:
     return entries.select("entry_ord", F.format_string("| %s | %d | %s |", F.replace("path", F.lit("|"), F.lit("\\|")), "size", mode).alias("row"))
 
 
-def stat(entries: DataFrame, path: str) -> DataFrame:
-    """One entry, its hash checked again, and both token estimates."""
+def stat(entries: DataFrame, path: str | None = None) -> DataFrame:
+    """Entries (or the one of a path), their hashes checked again, and both token estimates."""
     data = F.col("text").cast("binary")
-    found = entries.where(F.col("path") == path)
+    found = entries if path is None else entries.where(F.col("path") == path)
     return found.select("path", "size", "h", (F.sha2(data, 256) == F.col("h")).alias("verified"), T.token_estimates(data)["low"].alias("tokens_low"), T.token_estimates(data)["high"].alias("tokens_high"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,18 +48,37 @@ def cut(archive: DataFrame, piece: int) -> DataFrame:
 _PIECE = "set_id string, stripe long, slot int, is_parity boolean, s long, h string, payload binary"
 
 
+def _by_stripe(pieces: DataFrame, work) -> DataFrame:
+    """Pieces of whole stripes (at most 64 MiB each) through work(set_id, stripe, rows), which gives rows of pieces."""
+    cols = [c for c in ("slot", "is_parity", "s", "h", "payload") if c in pieces.columns]
+    stripes = pieces.groupBy("set_id", "stripe").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("rows"))
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.binary()]
+    names = ["set_id", "stripe", "slot", "is_parity", "s", "h", "payload"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, stripe, pieces in zip(*(b.column(k) for k in range(3))):
+                out = [(key.as_py(), stripe.as_py(), *r) for r in work(key.as_py(), stripe.as_py(), pieces.as_py())]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    return stripes.mapInArrow(rows, _PIECE)
+
+
+def _piece(slot: int, is_parity: bool, payload: bytes) -> tuple:
+    return slot, is_parity, len(payload), hashlib.sha256(payload).hexdigest(), payload
+
+
 def split(archive: DataFrame, data: int, parity: int, piece: int) -> DataFrame:
     """Data and parity pieces of archives (set_id, payload), one row a piece; stripes of `data` pieces, virtual ones empty."""
 
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slot")
-        have = dict(zip(pdf["slot"], pdf["payload"]))
+    def encode(key, stripe, rows) -> list[tuple]:
+        have = {r["slot"]: r["payload"] for r in rows}
         size = max(map(len, have.values()), default=0)
         blocks = [have.get(k, b"").ljust(size, b"\0") for k in range(data)]
-        rows = [(k, False, have[k]) for k in sorted(have)] + [(data + k, True, p) for k, p in enumerate(kernels.parity_of(blocks, parity) if parity else [])]
-        return pd.DataFrame([(pdf["set_id"].iloc[0], pdf["stripe"].iloc[0], s, q, len(p), hashlib.sha256(p).hexdigest(), p) for s, q, p in rows], columns=["set_id", "stripe", "slot", "is_parity", "s", "h", "payload"])
+        return [_piece(k, False, x) for k, x in have.items()] + [_piece(data + k, True, x) for k, x in enumerate(kernels.parity_of(blocks, parity) if parity else [])]
 
-    return placed(cut(archive, piece), data).select("set_id", "stripe", "slot", "payload").groupBy("set_id", "stripe").applyInPandas(encode, _PIECE)
+    return _by_stripe(placed(cut(archive, piece), data).select("set_id", "stripe", "slot", "payload"), encode)
 
 
 def piece_states(found: DataFrame, expected: DataFrame) -> DataFrame:
@@ -83,24 +101,23 @@ def repaired(found: DataFrame, expected: DataFrame, data: int, parity: int) -> D
     met = expected.select(*key, "is_parity", "s", "h").join(found.select(*key, "payload"), key, "left")
     met = met.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("h"), F.col("payload")))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slot")
-        bad, size = pdf["payload"].isna(), int(pdf["s"].max())
-        if not bad.any():
-            return pdf
-        have = {int(s): p.ljust(size, b"\0") for s, p in zip(pdf["slot"], pdf["payload"]) if p is not None and not isinstance(p, float)}
-        have |= {k: bytes(size) for k in range(data) if k not in set(pdf["slot"])}  # virtual pieces
+    def solve(key, stripe, rows) -> list[tuple]:
+        whole = [tuple(r[c] for c in ("slot", "is_parity", "s", "h", "payload")) for r in rows]
+        if all(r[-1] is not None for r in whole):
+            return whole
+        size = max(r[2] for r in whole)
+        have = {r[0]: r[-1].ljust(size, b"\0") for r in whole if r[-1] is not None}
+        have |= {k: bytes(size) for k in range(data) if k not in {r[0] for r in whole}}  # virtual pieces
         if len(have) < data:
-            return pdf[~bad]
+            return [r for r in whole if r[-1] is not None]
         blocks = kernels.rebuild(have, data, parity)
         every = blocks + (kernels.parity_of(blocks, parity) if parity else [])
-        out = pdf.assign(payload=[every[int(k)][: int(s)] for k, s in zip(pdf["slot"], pdf["s"])])
-        if [hashlib.sha256(p).hexdigest() for p in out["payload"]] != list(out["h"]):
-            raise ValueError(f"stripe {pdf['stripe'].iloc[0]}: the rebuilt pieces are not the expected ones")
+        out = [_piece(r[0], r[1], every[r[0]][: r[2]]) for r in whole]
+        if [r[3] for r in out] != [r[3] for r in whole]:
+            raise ValueError(f"stripe {stripe} of {key}: the rebuilt pieces are not the expected ones")
         return out
 
-    cols = ["set_id", "stripe", "slot", "is_parity", "s", "h", "payload"]
-    return met.select(*cols).groupBy("set_id", "stripe").applyInPandas(lambda pdf: solve(pdf)[cols], _PIECE)
+    return _by_stripe(met, solve)
 
 
 def joined(pieces: DataFrame, data: int) -> DataFrame:
@@ -128,14 +145,13 @@ def sidecars(archive: DataFrame, piece: int, ratio: float) -> DataFrame:
     """Recovery pieces of archives (set_id, payload): stripes of as many pieces as 64 MiB hold (2 to 200), at least one parity piece each."""
     k = min(max(STRIPE_BYTES // piece, 2), STRIPE_PIECES)
 
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ix")
-        blocks = list(pdf["payload"])
+    def encode(key, stripe, rows) -> list[tuple]:
+        blocks = [r["payload"] for r in rows]
         m = max(1, int(len(blocks) * ratio + 0.5))
-        rows = [(int(i) % k, False, b) for i, b in zip(pdf["ix"], blocks)] + [(len(blocks) + j, True, p) for j, p in enumerate(kernels.parity_of(blocks, m))]
-        return pd.DataFrame([(pdf["set_id"].iloc[0], pdf["stripe"].iloc[0], s, q, len(p), hashlib.sha256(p).hexdigest(), p) for s, q, p in rows], columns=["set_id", "stripe", "slot", "is_parity", "s", "h", "payload"])
+        return [_piece(r["slot"], False, r["payload"]) for r in rows] + [_piece(len(blocks) + j, True, x) for j, x in enumerate(kernels.parity_of(blocks, m))]
 
-    return cut(archive, piece).withColumn("stripe", F.floor(F.col("ix") / k)).groupBy("set_id", "stripe").applyInPandas(encode, _PIECE)
+    parts = cut(archive, piece).select("set_id", F.floor(F.col("ix") / k).alias("stripe"), (F.col("ix") % k).cast("int").alias("slot"), "payload")
+    return _by_stripe(parts, encode)
 
 
 def descriptor_violations(sets: DataFrame) -> DataFrame:

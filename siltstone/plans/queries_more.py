@@ -23,12 +23,12 @@ def s2_expand_inputs(spark, d):
 
 @query()
 def s3_file_scan(spark, d):
-    return files.collect_inputs(spark, d).where("size < 4000000").select("path", "size", F.sha2("data", 256).alias("h"))
+    return files.collect_inputs(spark, d).select("path", "size", F.sha2("data", 256).alias("h"))
 
 
-@query(E_SQL + " SELECT entry_ord, h FROM e WHERE size <= 4096")
+@query(E_SQL + " SELECT entry_ord, h FROM e WHERE size <= 67108864")
 def s4_whole_file_scan(spark, d):
-    return _e(spark, d).where("size <= 4096").select("entry_ord", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    return _e(spark, d).where(F.col("size") <= 64 << 20).select("entry_ord", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
 
 
 _SECTIONS = """WITH s AS (SELECT o_custkey AS archive, o_orderkey AS ix, o_orderkey * 10 AS off, CASE WHEN o_orderkey % 13 = 0 THEN 200 ELSE 10 END AS len, o_orderkey % 9 = 0 AS torn FROM orders),
@@ -80,10 +80,10 @@ def _zips(spark, d):
             z.writestr("stored.bin", text[:10])
         return f.getvalue()
 
-    return _e(spark, d).where("entry_ord < 300").select(F.col("path"), F.when(F.col("entry_ord") % 10 == 0, F.col("text").cast("binary")).otherwise(F.udf(pack, "binary")("text")).alias("data"))
+    return _e(spark, d).select(F.col("path"), F.when(F.col("entry_ord") % 10 == 0, F.col("text").cast("binary")).otherwise(F.udf(pack, "binary")("text")).alias("data"))
 
 
-_ZIP_SQL = E_SQL + " SELECT path, 'zip' AS mode, 'member.txt' AS name, h FROM e WHERE entry_ord < 300 AND entry_ord % 10 <> 0 UNION ALL SELECT path, 'zip', 'stored.bin', sha256(left(text, 10)) FROM e WHERE entry_ord < 300 AND entry_ord % 10 <> 0 UNION ALL SELECT path, 'raw', NULL, h FROM e WHERE entry_ord < 300 AND entry_ord % 10 = 0"
+_ZIP_SQL = E_SQL + " SELECT path, 'zip' AS mode, 'member.txt' AS name, h FROM e WHERE entry_ord % 10 <> 0 UNION ALL SELECT path, 'zip', 'stored.bin', sha256(left(text, 10)) FROM e WHERE entry_ord % 10 <> 0 UNION ALL SELECT path, 'raw', NULL, h FROM e WHERE entry_ord % 10 = 0"
 
 
 @query(_ZIP_SQL)
@@ -91,13 +91,13 @@ def s11_explode_zip(spark, d):
     return volumes.exploded_containers(_zips(spark, d)).select("path", "mode", "name", F.sha2("content", 256).alias("h"))
 
 
-@query(E_SQL + " SELECT path, h FROM e WHERE entry_ord < 300")
+@query(E_SQL + " SELECT path, h FROM e")
 def s12_explode_streams(spark, d):
     import zlib
 
     made = F.udf(lambda t: b"1 0 obj\nstream\n" + zlib.compress(t.encode()) + b"\nendstream\nend", "binary")
     plain = F.udf(lambda b: next(x for _, k, x in kernels.pdf_streams(b) if k), "binary")
-    return _e(spark, d).where("entry_ord < 300").select("path", F.sha2(plain(made("text")), 256).alias("h"))
+    return _e(spark, d).select("path", F.sha2(plain(made("text")), 256).alias("h"))
 
 
 @query("SELECT s_suppkey % 20 AS peer, count(DISTINCT s_suppkey % 7) AS volumes FROM supplier GROUP BY ALL")
@@ -122,22 +122,22 @@ def k4_stream_entry(spark, d):
     return parts.select("entry_ord", F.sha2(data, 256).alias("h"), F.octet_length(data).cast("long").alias("size"))
 
 
-@query(E_SQL + ", n AS (SELECT path, greatest((size + 99) // 100, 1) AS n FROM e WHERE entry_ord < 200) SELECT path AS set_id, CAST(n AS BIGINT) AS data_pieces, CAST(sum(greatest(1, CAST(floor(least(200, n - s * 200) * 0.1 + 0.5) AS BIGINT))) AS BIGINT) AS parity_pieces FROM (SELECT path, n, unnest(range(0, (n + 199) // 200)) AS s FROM n) GROUP BY ALL")
+@query(E_SQL + ", n AS (SELECT path, greatest((size + 99) // 100, 1) AS n FROM e) SELECT path AS set_id, CAST(n AS BIGINT) AS data_pieces, CAST(sum(greatest(1, CAST(floor(least(200, n - s * 200) * 0.1 + 0.5) AS BIGINT))) AS BIGINT) AS parity_pieces FROM (SELECT path, n, unnest(range(0, (n + 199) // 200)) AS s FROM n) GROUP BY ALL")
 def k5_sidecars(spark, d):
-    whole = _e(spark, d).where("entry_ord < 200").select(F.col("path").alias("set_id"), F.col("text").cast("binary").alias("payload"))
+    whole = _e(spark, d).select(F.col("path").alias("set_id"), F.col("text").cast("binary").alias("payload"))
     return volumes.sidecars(whole, 100, 0.1).groupBy("set_id").agg(F.count_if(~F.col("is_parity")).alias("data_pieces"), F.count_if("is_parity").alias("parity_pieces"))
 
 
-@query(E_SQL + ", n AS (SELECT path, greatest((size + 255) // 256, 1) AS n FROM e WHERE entry_ord < 200) SELECT path AS set_id, CAST(n AS BIGINT) AS data_pieces, CAST((n + 3) // 4 * 2 AS BIGINT) AS parity_pieces, CAST((n + 3) // 4 AS BIGINT) AS stripes FROM n")
+@query(E_SQL + ", n AS (SELECT path, greatest((size + 255) // 256, 1) AS n FROM e) SELECT path AS set_id, CAST(n AS BIGINT) AS data_pieces, CAST((n + 3) // 4 * 2 AS BIGINT) AS parity_pieces, CAST((n + 3) // 4 AS BIGINT) AS stripes FROM n")
 def k6_split_geometry(spark, d):
-    whole = _e(spark, d).where("entry_ord < 200").select(F.col("path").alias("set_id"), F.col("text").cast("binary").alias("payload"))
+    whole = _e(spark, d).select(F.col("path").alias("set_id"), F.col("text").cast("binary").alias("payload"))
     g = volumes.split(whole, 4, 2, 256).groupBy("set_id")
     return g.agg(F.count_if(~F.col("is_parity")).alias("data_pieces"), F.count_if("is_parity").alias("parity_pieces"), F.countDistinct("stripe").alias("stripes"))
 
 
-@query(E_SQL + " SELECT path AS set_id, CAST(6 AS BIGINT) AS whole FROM e WHERE entry_ord < 100 AND size > 768 AND size <= 1024")
+@query(E_SQL + ", n AS (SELECT path, greatest((size + 255) // 256, 1) AS n FROM e) SELECT path AS set_id, CAST(n + (n + 3) // 4 * 2 AS BIGINT) AS whole FROM n")
 def k8_repair_volumes(spark, d):
-    whole = _e(spark, d).where("entry_ord < 100 and size > 768 and size <= 1024").select(F.col("path").alias("set_id"), F.col("text").cast("binary").alias("payload"))
+    whole = _e(spark, d).select(F.col("path").alias("set_id"), F.col("text").cast("binary").alias("payload"))
     made = volumes.split(whole, 4, 2, 256)
     fixed = volumes.repaired(made.where("slot > 1"), made, 4, 2)
     return fixed.where(F.sha2("payload", 256) == F.col("h")).groupBy("set_id").agg(F.count("*").alias("whole"))
@@ -153,7 +153,7 @@ def k11_base64(spark, d):
     return _t(spark, d, "nation").select("n_nationkey", F.base64(F.col("n_name").cast("binary")).alias("content"))
 
 
-@query(E_SQL + " SELECT path, CASE WHEN entry_ord % 10 = 0 THEN 'raw' ELSE 'zip' END AS mode, TRUE AS same FROM e WHERE entry_ord < 300")
+@query(E_SQL + " SELECT path, CASE WHEN entry_ord % 10 = 0 THEN 'raw' ELSE 'zip' END AS mode, TRUE AS same FROM e")
 def k12_rebuild_or_keep(spark, d):
     def same(data):
         mode, members, _ = kernels.exploded(data)
@@ -169,7 +169,7 @@ def k12_rebuild_or_keep(spark, d):
 def f19_machine_code(spark, d):
     x86, arm = F.udf(kernels.looks_like_x86, "boolean"), F.udf(kernels.arm64_alignment, "int")
     data = F.when(F.col("entry_ord") % 2 == 0, F.unhex(F.repeat(F.lit("E810000000900000"), 1024))).otherwise(F.col("text").cast("binary"))
-    return _e(spark, d).where("entry_ord < 100").select("entry_ord", x86(data).alias("x86"), arm(data).alias("arm64"))
+    return _e(spark, d).select("entry_ord", x86(data).alias("x86"), arm(data).alias("arm64"))
 
 
 @query("SELECT p_partkey, p_size * 1024 >= 16384 AND p_size % 10 >= 8 AS enough FROM part")
@@ -177,10 +177,10 @@ def f26_key_derivation_floor(spark, d):
     return _t(spark, d, "part").select("p_partkey", ((F.col("p_size") * 1024 >= 16384) & (F.col("p_size") % 10 >= 8)).alias("enough"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS blob, o_orderkey // 3 AS base FROM orders WHERE o_orderkey < 3000 AND o_orderkey > 2),
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS blob, o_orderkey // 3 AS base FROM orders WHERE o_orderkey > 2),
 r AS (SELECT blob AS target, blob, base, 1 AS step FROM e WHERE blob IN (2999, 1234, 5) UNION ALL SELECT r.target, e.blob, e.base, step + 1 FROM r JOIN e ON e.blob = r.base) SELECT target, base, step FROM r""")
 def j10_delta_traversal(spark, d):
-    edges = _t(spark, d, "orders").where("o_orderkey < 3000 and o_orderkey > 2").select(F.col("o_orderkey").alias("blob"), F.expr("o_orderkey div 3").alias("base"))
+    edges = _t(spark, d, "orders").where("o_orderkey > 2").select(F.col("o_orderkey").alias("blob"), F.expr("o_orderkey div 3").alias("base"))
     return integrity.bases_of(edges, [2999, 1234, 5])
 
 
@@ -241,11 +241,11 @@ def u6_union_of_references(spark, d):
 
 # --- codecs and views -------------------------------------------------------------------------------------------
 
-_ROUND = E_SQL + " SELECT entry_ord AS key, h FROM e WHERE entry_ord < 300"
+_ROUND = E_SQL + " SELECT entry_ord AS key, h FROM e"
 
 
 def _some(spark, d):
-    return _e(spark, d).where("entry_ord < 300").select(F.col("entry_ord").alias("key"), F.col("text").alias("data"))
+    return _e(spark, d).select(F.col("entry_ord").alias("key"), F.col("text").alias("data"))
 
 
 def _back(df):
@@ -298,7 +298,7 @@ def b12_key_wrap(spark, d):
     return blocks.unseal(blocks.seal(one, key, "key"), key).select("key", F.hex("payload").alias("secret"))
 
 
-@query(E_SQL + " SELECT path, '## ' || entry_ord || chr(10) || chr(10) || 'end' || chr(10) AS text FROM e WHERE entry_ord < 50")
+@query(E_SQL + " SELECT path, '## ' || entry_ord || chr(10) || chr(10) || 'end' || chr(10) AS text FROM e")
 def b15_docx_view(spark, d):
     def doc(n):
         import io
@@ -310,16 +310,16 @@ def b15_docx_view(spark, d):
             z.writestr("word/document.xml", f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>{n}</w:t></w:r></w:p><w:p><w:r><w:t>end</w:t></w:r></w:p></w:body></w:document>')
         return f.getvalue()
 
-    made = _e(spark, d).where("entry_ord < 50").select(F.concat("path", F.lit(".docx")).alias("path"), F.udf(doc, "binary")("entry_ord").alias("data"))
+    made = _e(spark, d).select(F.concat("path", F.lit(".docx")).alias("path"), F.udf(doc, "binary")("entry_ord").alias("data"))
     return volumes.views(made).select(F.regexp_replace("path", r"\.docx$", "").alias("path"), "text")
 
 
-@query(E_SQL + " SELECT path, '<!-- page 1 -->' || chr(10) || 'Page ' || entry_ord AS text FROM e WHERE entry_ord < 50")
+@query(E_SQL + " SELECT path, '<!-- page 1 -->' || chr(10) || 'Page ' || entry_ord AS text FROM e")
 def b16_pdf_view(spark, d):
     import zlib
 
     made = F.udf(lambda n: b"1 0 obj\nstream\n" + zlib.compress(f"BT (Page {n}) Tj ET".encode()) + b"\nendstream", "binary")
-    pdf = _e(spark, d).where("entry_ord < 50").select(F.concat("path", F.lit(".pdf")).alias("path"), made("entry_ord").alias("data"))
+    pdf = _e(spark, d).select(F.concat("path", F.lit(".pdf")).alias("path"), made("entry_ord").alias("data"))
     return volumes.views(pdf).select(F.regexp_replace("path", r"\.pdf$", "").alias("path"), "text")
 
 
