@@ -193,6 +193,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     windows = packed.join(asked.hint("shuffle_hash"), "doc_id").mapInArrow(_window_rows(width), "doc_id long, h1 long, h2 long")
     windows = materialize(windows, "windows")
     earlier = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    earlier = materialize(earlier, "earlier")  # both sides of the join are then plain exchanges, which AQE can split
     single = windows.join(earlier, ["h1", "h2"]).where("doc_id > first").select("doc_id", F.lit(1).alias("kind"), F.col("h1").alias("h"))
     gone = settled.unionAll(single).groupBy("doc_id").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("h"))).alias(n) for k, n in enumerate(("settled", "single"))))
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
