@@ -1,7 +1,7 @@
 """Exact top-k search by inner product: a KD-tree a shard, best-first with box bounds and a propagated kth score.
 
 Vectors are dealt to shards of about `SHARD`; each becomes a KD-tree by median splits along the widest side, with a
-tight box at every leaf.  Queries travel in blocks of `BLOCK`.  A task takes one block past a group of shards, one after
+tight box at every leaf.  Queries travel in blocks.  A task takes one block past a group of shards, one after
 the other: all queries of a block go in step, each to its unvisited leaf with the highest bound of the inner product
 over the leaf's box, and stop when that bound is below their kth score so far, which is carried from shard to shard.
 The groups' results, k a query, are then merged.
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from ._spark import materialize, table, tune
 
-SHARD, BLOCK, LEAF, GROUPS, K = 4096, 256, 256, 4, 20
+SHARD, LEAF, GROUPS, K = 4096, 256, 4, 20
+#: Queries of a block: a 64th of them, within these bounds, for every shard travels once to each block.
+LEAST_BLOCK, MOST_BLOCK = 256, 4096
 
 
 def tree(v: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,14 +148,14 @@ def _searched(dims: int, k: int):
     return rows
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, block: int | None = None) -> DataFrame:
     """The k best of vectors for each of queries, both (vec_id, v: array of long): query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     tune(spark, 64)
     queries = queries.dropDuplicates(["vec_id"])
     n, dims = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     m, more = queries.agg(F.count("*"), F.max(F.size("v"))).first()
-    dims = max(1, dims or 0, more or 0)
+    dims, block = max(1, dims or 0, more or 0), block or min(max(LEAST_BLOCK, -(-m // 64)), MOST_BLOCK)
     layout = "at long, small boolean, v binary, ids binary, ends binary, low binary, high binary"
     shards = materialize(vectors.repartition(max(1, -(-n // shard))).mapInArrow(_payload(True, dims, 2 * shard), layout), "shards")
     blocks = materialize(queries.repartition(max(1, -(-m // block))).mapInArrow(_payload(False, dims, 1 << 40), layout), "blocks")
