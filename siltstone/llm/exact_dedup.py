@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import materialize, table
 
 CELLS_A_ROW, LEAST_CELLS, MOST_CELLS = 16, 1 << 12, 1 << 26
 
@@ -67,7 +67,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = _tested(docs, "text", cells).select("doc_id", F.sha2(normalized(F.col("text")), 256).alias("text_sha256"), F.char_length(F.coalesce("text", F.lit(""))).alias("n"), "__x_maybe")
     alone = rows.where("not __x_maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = rows.where("__x_maybe").select("doc_id", "text_sha256", "n")
-    met = maybe.join(_winners(maybe), "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # a table of its own, so that both sides of the join are plain exchanges and AQE can split a large group
+    winners = materialize(_winners(maybe), "winners")
+    met = maybe.join(winners, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(met)
 
 
