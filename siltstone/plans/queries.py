@@ -149,7 +149,7 @@ def p10_info(spark, d):
     return entries.info(_blobs(spark, d))
 
 
-@query("SELECT l_linenumber AS codec_id, CASE l_linenumber WHEN 1 THEN 'zstd' WHEN 2 THEN 'xz' WHEN 3 THEN 'bz2' WHEN 4 THEN 'zstd-dict' WHEN 5 THEN 'zstd-delta' ELSE 'unknown' END AS codec, count(*) AS n FROM lineitem GROUP BY ALL")
+@query("SELECT l_linenumber AS codec_id, CASE l_linenumber WHEN 1 THEN 'zstd' WHEN 2 THEN 'xz' WHEN 3 THEN 'bz2' WHEN 4 THEN 'zstd-dict' WHEN 5 THEN 'zstd-delta' WHEN 6 THEN 'xz-x86' ELSE 'unknown' END AS codec, count(*) AS n FROM lineitem GROUP BY ALL")
 def p11_codec_names(spark, d):
     from ..functions.kernels import CODECS
 
