@@ -47,7 +47,7 @@ def _tested(docs: DataFrame, text_col: str, cells: int | None) -> DataFrame:
         while cells < MOST_CELLS and cells < rows * CELLS_A_ROW:
             cells *= 2
     hashed = docs.withColumn("__x_h", F.xxhash64(normalized(F.col(text_col))))
-    words = _filter_words(hashed.select("__x_h"), cells)
+    words = materialize(_filter_words(hashed.select("__x_h"), cells), "filter")  # read twice here, and by each later query
     for k, cell in enumerate(_cells(cells)):
         side = F.broadcast(words.select(F.col("word").alias(f"__x_w{k}"), F.col("bits").alias(f"__x_b{k}")))
         hashed = hashed.withColumn("__x_c", cell).join(side, F.expr(f"__x_c div 64 = __x_w{k}"), "left")
