@@ -19,7 +19,14 @@ def held_out(id_col: str, mod: int, rest: int):
 
 
 def sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most so many rows of (doc_id, ...), chosen by a hash of the id, the same whatever the partitioning."""
+    """At most so many rows of (doc_id, ...), chosen by a hash of the id, the same whatever the partitioning.
+
+    Of a large table only hashes in the range where some `2 * most` rows are expected are sorted at all, so that what
+    meets in one place does not grow with the number of tasks.
+    """
+    n = rows.count()
+    if n > 4 * most:
+        rows = rows.where(F.xxhash64("doc_id") < int(2 * most / n * 2.0**64) - 2**63)
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 

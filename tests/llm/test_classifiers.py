@@ -154,3 +154,12 @@ def test_mixing_to_zero_and_without_targets(spark):
     assert by["x y z"]["rate"] < 0.05 and by["a b c"]["rate"] > 1.4
     even = {r["text"]: r["rate"] for r in mixing.mixture(df, labelled, {}).join(df, "doc_id").collect()}
     assert 0.7 < even["a b c"] < 0.8 and 1.4 < even["x y z"] < 1.6
+
+
+def test_sample_is_the_plain_one(spark):
+    from siltstone.llm import _labelled as L
+
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    plain = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(300)
+    assert {r[0] for r in L.sample(rows, 300).collect()} == {r[0] for r in plain.collect()}
+    assert L.sample(rows, 30_000).count() == 20_000
