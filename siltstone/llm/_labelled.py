@@ -42,7 +42,7 @@ def gather(docs: DataFrame, chosen: DataFrame, kind: Callable, bits: int) -> lis
                 out = [idx[ptr[i] : ptr[i + 1]].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(out, pa.binary())], ["doc_id", "label", "idx"])
 
-    found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(rows, "doc_id long, label int, idx binary").toArrow()
+    found = docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(rows, "doc_id long, label int, idx binary").toArrow()
     got = zip(found["doc_id"].to_pylist(), found["label"].to_pylist(), (np.frombuffer(x.as_py(), np.int32) for x in found["idx"]))
     return sorted(got, key=lambda x: (x[0], x[1], x[2].tobytes()))
 
@@ -64,7 +64,7 @@ def scored(docs: DataFrame, kind: Callable, bits: int, score: Callable, cut: flo
             s = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text").mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -113,7 +113,7 @@ def identify(pages: DataFrame, docs: DataFrame, most: int = SAMPLE) -> DataFrame
                 said.append(declared(page))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string()), pa.array(like, pa.list_(pa.float64()))], ["page_id", "host", "declared", "likelihood"])
 
-    seen = pages.select(F.col("page_id"), host_of(F.col("url")).alias("host"), "html").mapInArrow(read, "page_id long, host string, declared string, likelihood array<double>")
+    seen = pages.select(F.col("page_id").cast("long"), host_of(F.col("url")).alias("host"), "html").mapInArrow(read, "page_id long, host string, declared string, likelihood array<double>")
     seen = seen.withColumn("suffix", F.when(F.col("host").rlike(r"\.[a-z]+$"), F.regexp_extract("host", r"([a-z]+)$", 1)).otherwise(""))
     logs = [F.col("likelihood")[k] + F.lit(float(np.log(share[k]))) for k in range(many)]
     top = F.greatest(*logs) if many > 1 else logs[0]

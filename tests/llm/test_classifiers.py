@@ -163,3 +163,9 @@ def test_sample_is_the_plain_one(spark):
     plain = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(300)
     assert {r[0] for r in L.sample(rows, 300).collect()} == {r[0] for r in plain.collect()}
     assert L.sample(rows, 30_000).count() == 20_000
+
+
+def test_narrow_ids(spark, corpus):
+    docs, labels = corpus
+    narrow = docs.where("doc_id < 100").withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert quality.scores(narrow, labels).count() == 100 and toxicity.scores(narrow, labels).count() == 100
