@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch: long texts make the default of 10,000 too large for a small executor.
 ARROW_ROWS = 512
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -31,10 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends in files that any executor can read."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends in files that any executor can read.
+
+    The shuffle files of the write are of no more use then, and go at once instead of with the driver's next garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
