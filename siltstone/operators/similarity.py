@@ -14,28 +14,27 @@ def name_keys(entries: DataFrame) -> DataFrame:
     return entries.select("entry_ord", "path", base.alias("base"), P.extension(F.col("path")).alias("ext"), F.substring(base, 1, 3).alias("prefix3"))
 
 
-def _prefixes(keys: DataFrame, longest: int) -> DataFrame:
-    """keys with a row for each beginning `head` of `lcp` characters, from three on."""
-    upto = F.least(F.length("base"), F.lit(longest))
-    return keys.where(F.length("base") >= 3).withColumn("lcp", F.explode(F.sequence(F.lit(3), upto))).withColumn("head", F.substring("base", F.lit(1), F.col("lcp")))
+def _prefixes(keys: DataFrame) -> DataFrame:
+    """keys with a row for each beginning `head` of `lcp` characters, from three to the whole name."""
+    return keys.where(F.length("base") >= 3).withColumn("lcp", F.explode(F.sequence(F.lit(3), F.length("base")))).withColumn("head", F.substring("base", F.lit(1), F.col("lcp")))
 
 
-def name_candidates(new: DataFrame, old: DataFrame, most: int = 3, longest: int = 64) -> DataFrame:
+def name_candidates(new: DataFrame, old: DataFrame, most: int = 3) -> DataFrame:
     """For each new entry the `most` old ones with the same extension and the longest common beginning of names.
 
     The beginning has three characters at least and half of the shorter name; an old entry with the same whole path
-    comes before all others; then the later one.  Beginnings are compared up to `longest` characters.
+    comes before all others; then the later one.
 
     Pairs are never made within a block: of each beginning only the latest `most` old entries can matter, once among
     all names and once among those of at most twice its length, because fewer than `most` of either can already have
     been taken by a longer beginning.  The ranks are cut down within tasks before anything is shuffled.
     """
     a, b = name_keys(new), name_keys(old)
-    heads = _prefixes(b, longest).select(F.col("entry_ord").alias("old_entry_ord"), "ext", "lcp", "head", F.length("base").alias("old_len"))
+    heads = _prefixes(b).select(F.col("entry_ord").alias("old_entry_ord"), "ext", "lcp", "head", F.length("base").alias("old_len"))
     latest = F.row_number().over(Window.partitionBy("ext", "head", "lcp").orderBy(F.desc("old_entry_ord")))
     every = heads.withColumn("nth", latest).where(F.col("nth") <= most).withColumn("all", F.lit(True))
     short = heads.where(F.col("old_len") <= 2 * F.col("lcp")).withColumn("nth", latest).where(F.col("nth") <= most).withColumn("all", F.lit(False))
-    met = _prefixes(a, longest).select("entry_ord", "ext", "lcp", "head", F.length("base").alias("len")).join(every.unionByName(short), ["ext", "head", "lcp"])
+    met = _prefixes(a).select("entry_ord", "ext", "lcp", "head", F.length("base").alias("len")).join(every.unionByName(short), ["ext", "head", "lcp"])
     met = met.where(~F.col("all") | (F.col("len") <= 2 * F.col("lcp"))).select("entry_ord", "old_entry_ord", F.col("lcp").alias("score"))
     same = a.select("entry_ord", "path").join(b.select(F.col("entry_ord").alias("old_entry_ord"), "path"), "path").select("entry_ord", "old_entry_ord", F.lit(1 << 30).alias("score"))
     best = met.unionByName(same).groupBy("entry_ord", "old_entry_ord").agg(F.max("score").alias("score"))

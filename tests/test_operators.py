@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.archive import Archive
 from siltstone.functions import kernels
 from siltstone.functions import paths as P
-from siltstone.operators import blocks, dedup, entries, integrity, transfer, volumes
+from siltstone.operators import blocks, dedup, entries, integrity, similarity, transfer, volumes
 from siltstone.sources import files
 from siltstone.streaming import limits
 
@@ -105,6 +105,13 @@ def test_chain_of_deltas_and_cycles(spark):
     assert {r["blob"]: r["depth"] for r in integrity.chain_depths(edges).collect()} == {1: 0, 2: 1, 3: 2, 8: -1, 9: -1}
 
 
+def test_long_names_are_compared_whole(spark):
+    new = spark.createDataFrame([(100, "d/" + "n" * 150 + "x.dat"), (101, "n" * 70 + "yz.dat")], "entry_ord long, path string")
+    old = spark.createDataFrame([(1, "e/" + "n" * 150 + "y.dat"), (2, "n" * 140 + "z" * 10 + ".dat"), (3, "n" * 66 + "q" * 90 + ".dat"), (4, "n" * 70 + "yq.dat")], "entry_ord long, path string")
+    got = {(r["entry_ord"], r["rank"]): (r["old_entry_ord"], r["score"]) for r in similarity.name_candidates(new, old).collect()}
+    assert got == {(100, 1): (1, 150), (100, 2): (2, 140), (100, 3): (4, 70), (101, 1): (4, 71), (101, 2): (2, 70), (101, 3): (1, 70)}
+
+
 def test_token_bucket_batch_and_stream(spark, tmp_path):
     rows = [(k, k % 2, float(t)) for k, t in enumerate([0, 0, 0, 0.1, 0.2, 0.3, 5, 5, 5, 5, 5, 5])]
     df = spark.createDataFrame(rows, "event_id long, user_id long, seconds double")
