@@ -9,8 +9,8 @@ Four kinds of evidence give one posterior a page:
 * a prior of the host: grouped sums of the text posteriors of its pages (less the page's own), smoothed towards its
   suffix, and that towards all pages.
 
-Sums are grouped with partial aggregates; only tables of languages by declared values or suffixes (at most `VALUES`,
-the most frequent) are broadcast, hosts meet their pages in a join that AQE can split.
+Sums are grouped with partial aggregates; only the table of languages by declared values (two or three letters) is
+broadcast, suffixes meet their hosts and hosts their pages in joins that AQE can split.
 
 Cases: null or empty pages have no text evidence and get what host and address say, or the sample's shares; null or
 odd addresses have host and suffix ''; a null page_id is judged like others; rows that repeat an id are judged each;
@@ -34,7 +34,7 @@ from . import _text as X
 from ._features import LOWER
 from ._spark import materialize, table, tune
 
-SAMPLE, BITS, WEIGHT, KAPPA, VALUES = 4_000, 16, 200.0, 5.0, 2_000
+SAMPLE, BITS, WEIGHT, KAPPA = 4_000, 16, 200.0, 5.0
 _SKIP = re.compile(r"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
@@ -127,29 +127,28 @@ def identify(pages: DataFrame, docs: DataFrame, most: int = SAMPLE) -> DataFrame
     total = sums().first()
     of_all = np.array([total[f"s{k}"] or 0.0 for k in range(many)]) + share
     of_all = of_all / of_all.sum()
-    given, priors = {}, {}
-    for name in ("declared", "suffix"):
-        got = sums(name).orderBy(F.desc("n"), name).limit(VALUES).collect()
-        s = np.array([[r[f"s{k}"] for k in range(many)] for r in got]).reshape(len(got), many)
-        p = (s + 1.0) / (s.sum(0) + 1.0 + len(got))
-        given[name] = {r[name]: np.log(p[i]) for i, r in enumerate(got)}
-        if name == "suffix":
-            priors = {r[name]: (s[i] + KAPPA * of_all) / (s[i].sum() + KAPPA) for i, r in enumerate(got)}
-    given["declared"].pop("", None)  # nothing declared says nothing
-    known = spark.sparkContext.broadcast((given, priors, of_all))
-    hosts = materialize(sums("host").select("host", F.array(*(F.col(f"s{k}") for k in range(many))).alias("sums")), "hosts")
+    got = sums("declared").collect()  # values of two or three letters
+    s = np.array([[r[f"s{k}"] for k in range(many)] for r in got]).reshape(len(got), many)
+    p = (s + 1.0) / (s.sum(0) + 1.0 + len(got))
+    given = {r["declared"]: np.log(p[i]) for i, r in enumerate(got)}
+    given.pop("", None)  # nothing declared says nothing
+    known = spark.sparkContext.broadcast((given, of_all))
+    every = F.array(*(F.col(f"s{k}") for k in range(many)))
+    hosts = materialize(sums("host", "suffix").select("host", "suffix", every.alias("sums")), "hosts")
+    suffixes = hosts.groupBy("suffix").agg(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(many))).select("suffix", every.alias("above"))
+    hosts = materialize(hosts.join(materialize(suffixes, "suffixes"), "suffix").select("host", "sums", "above"), "priors")
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given, priors, of_all = known.value
+        given, of_all = known.value
         for b in batches:
             n = b.num_rows
-            text, post, host = (np.array(b.column(k).to_pylist(), float).reshape(n, many) for k in (3, 5, 6))
-            said, suffix = b.column(2).to_pylist(), b.column(4).to_pylist()
+            text, post, host, above = (np.array(b.column(k).to_pylist(), float).reshape(n, many) for k in (3, 4, 5, 6))
+            said = b.column(2).to_pylist()
             rest = np.maximum(host - post, 0)
-            up = np.array([priors.get(x, of_all) for x in suffix]).reshape(n, many)
+            up = (above + KAPPA * of_all) / (above.sum(1, keepdims=True) + KAPPA)
             x = text + np.log((rest + KAPPA * up) / (rest.sum(1, keepdims=True) + KAPPA))
             zero = np.zeros(many)
-            x += np.array([given["declared"].get(v, zero) for v in said]).reshape(n, many)
+            x += np.array([given.get(v, zero) for v in said]).reshape(n, many)
             p = _softmax(x)
             best = p.argmax(1)
             yield pa.RecordBatch.from_arrays(
@@ -157,7 +156,7 @@ def identify(pages: DataFrame, docs: DataFrame, most: int = SAMPLE) -> DataFrame
                 ["page_id", "lang", "probability", "text_lang", "declared", "host"],
             )
 
-    met = seen.join(hosts, "host").select("page_id", "host", "declared", "likelihood", "suffix", "post", "sums")
+    met = seen.join(hosts, "host").select("page_id", "host", "declared", "likelihood", "post", "sums", "above")
     return met.mapInArrow(fuse, "page_id long, lang string, probability double, text_lang string, declared string, host string")
 
 

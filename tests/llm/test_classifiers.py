@@ -118,6 +118,18 @@ def test_language(spark):
         language_id.identify(p, d.where("lang is null"))
 
 
+def test_language_of_rare_suffixes_and_declarations(spark):
+    docs = spark.createDataFrame([(i, "aeio" * 20 if i % 2 else "bcdf" * 20, "xx" if i % 2 else "yy") for i in range(20)], "doc_id long, text string, lang string")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: letters[i // 676] + letters[i // 26 % 26] + letters[i % 26]
+    pages = [(2 * i + j, f"http://h{j}.{name(i)}", f"<html lang={name(i)}><p>" + "aeio" * 20) for i in range(2000) for j in range(2)]
+    # less frequent than 2,000 others: on zzx the suffix decides, with zzy the declaration
+    pages += [(8000, "http://a.zzx", "bcdf" * 20), (8001, "http://b.zzx", ""), (8002, "http://c.ccc", "<html lang=zzy>" + "bcdf" * 20), (8003, "http://d.ddd", "<html lang=zzy>")]
+    got = {r["page_id"]: r for r in language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    # most pages are xx: without that evidence both would be so by more than 0.9
+    assert 0.5 < got[8001]["probability"] < 0.9 and 0.5 < got[8003]["probability"] < 0.8, (got[8001], got[8003])
+
+
 def test_mixing(spark):
     rng = random.Random(5)
     docs = [(i, " ".join(rng.choices([k + x for x in "abcdefg"] + ["both"], k=rng.randint(1, 80))), k) for i in range(400) for k in [rng.choice("pppq")]]
