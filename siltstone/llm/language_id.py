@@ -37,7 +37,8 @@ from ._spark import materialize, table, tune
 SAMPLE, BITS, WEIGHT, KAPPA = 4_000, 16, 200.0, 5.0
 _SKIP = re.compile(r"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
+_HTML = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\blang\s*=\s*(?:[\"']\s*)?([A-Za-z]{2,3})\b", re.I)
 
 
 def readable(page: str) -> str:
@@ -46,8 +47,14 @@ def readable(page: str) -> str:
 
 
 def declared(page: str) -> str:
-    found = _DECLARED.search(page[: 1 << 16])
-    return found[1].lower() if found else ""
+    """The language of the first html tag that has one, anywhere in the page; tags are scanned once each."""
+    at = 0
+    while tag := _HTML.search(page, at):
+        at = page.find(">", tag.end())
+        at = len(page) if at < 0 else at
+        if found := _LANG.search(page, tag.end(), at):
+            return found[1].lower()
+    return ""
 
 
 def _trigrams(text: bytes) -> np.ndarray:

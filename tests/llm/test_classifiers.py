@@ -130,6 +130,12 @@ def test_language_of_rare_suffixes_and_declarations(spark):
     assert 0.5 < got[8001]["probability"] < 0.9 and 0.5 < got[8003]["probability"] < 0.8, (got[8001], got[8003])
 
 
+def test_declared_anywhere():
+    assert language_id.declared("<!--" + "x" * 100_000 + "--><HTML class=a lang = ' EN-us'>") == "en"
+    assert language_id.declared("<html><p lang=de><html dir=ltr lang=fr>") == "fr"
+    assert language_id.declared("<html " * 100_000 + "lang=" + " " * 100_000) == ""
+
+
 def test_mixing(spark):
     rng = random.Random(5)
     docs = [(i, " ".join(rng.choices([k + x for x in "abcdefg"] + ["both"], k=rng.randint(1, 80))), k) for i in range(400) for k in [rng.choice("pppq")]]
