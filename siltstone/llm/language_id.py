@@ -4,10 +4,10 @@ Four kinds of evidence give one posterior a page:
 
 * text: a Naive Bayes model of byte trigrams, learnt from a bounded sample of documents with known languages, reads
   the whole page without its markup; a long text counts for at most `WEIGHT` trigrams, or it would drown the rest;
-* the language that the markup declares, and the suffix of the address: P(value | language), from grouped sums of the
-  text posteriors over all pages;
+* the language that the markup declares: P(value | language), from grouped sums of the text posteriors over all pages;
 * a prior of the host: grouped sums of the text posteriors of its pages (less the page's own), smoothed towards its
-  suffix, and that towards all pages.
+  suffix, and that towards all pages;
+* the suffix of the address, through the host's prior only: with weight `KAPPA`, so it says little on hosts of many pages.
 
 Sums are grouped with partial aggregates; only the table of languages by declared values (two or three letters) is
 broadcast, suffixes meet their hosts and hosts their pages in joins that AQE can split.
