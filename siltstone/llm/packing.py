@@ -3,11 +3,14 @@
 Every document becomes token ids and a closing id 0, cut into pieces of at most `size` ids if it is longer (only the
 first piece may then be shorter).  Pieces are dealt to partitions of about `ITEMS` pieces; each is packed best fit,
 longest first, into bins of `size`.  Bins with at most `slack` free places, and pieces of full size, are final.  The
-rest travel on as single items, `fan` partitions to one, and are packed again, until one partition is left.  Each task
-passes on at most `carry` of its emptiest bins and closes the others, so that no task grows with the input.
+rest travel on as single items, `fan` partitions to one, and are packed again, until one partition is left, or a round
+has closed less than a hundredth of them.  A task never gets more than some `items` pieces: where more are left they
+go to more partitions.  (Two bins that are both over half full never share a sequence, and best fit leaves one bin a
+task that is not; so after the first round there is little left to win, and rounds end soon.)
 
-Ids are those of the byte-level tokenizer file; they come from the same vocabulary as ranks, through a bounded cache of
-space-separated words (a pre-token never spans a single space between two non-spaces, so texts can be cut there).
+Ids are those of the byte-level tokenizer file, its added tokens in a text included; they come from the same vocabulary
+as ranks, through a bounded cache of space-separated words (a pre-token never spans a single space between two
+non-spaces, so texts can be cut there).
 
 Cases: null and empty texts are one piece of the closing id; a text of any length is cut whole; rows that repeat an id
 are packed each (their pieces bear the same doc_id and piece, and different places); a null id is packed like others;
@@ -17,6 +20,7 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,11 +33,11 @@ from pyspark.sql import functions as F
 
 from ._spark import materialize, table, tune
 
-SIZE, ITEMS, FAN, SLACK, CARRY = 2048, 1 << 17, 8, 8, 1 << 14
+SIZE, ITEMS, FAN, SLACK = 2048, 1 << 17, 8, 8
 #: Words of the cache, of at most so many characters each.
 CACHE, LONGEST = 300_000, 40
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECES + ", sequence_id long, offset long, final boolean, part int"
+PLACED = PIECES + ", sequence_id long, offset long, final boolean"
 _SPACES = re.compile(r"\s")
 
 
@@ -47,12 +51,25 @@ def vocabulary(path: str | None = None):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """The added tokens of a tokenizer file, which are cut out of a text before anything else."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 class Encoder(dict):
-    """Little-endian 32-bit ids of texts; as a dict, the cache of words with the space before them."""
+    """Little-endian 32-bit ids of texts; as a dict, the cache of words with the space before them.
+
+    path: the ranks; added: tokens beside them, by default those of the public tokenizer file.
+    """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, added: dict[str, int] | None = None):
         super().__init__()
         self.encode = vocabulary(path).encode_ordinary
+        self.added = added_tokens() if added is None else added
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def ids(self, text: str) -> bytes:
         return np.array(self.encode(text), "<u4").tobytes()
@@ -68,6 +85,12 @@ class Encoder(dict):
         return out
 
     def text(self, text: str) -> bytes:
+        if not any(t in text for t in self.added):
+            return self.plain(text)
+        parts = self.cut.split(text)
+        return b"".join(np.array([self.added[x]], "<u4").tobytes() if k % 2 else self.plain(x) for k, x in enumerate(parts))
+
+    def plain(self, text: str) -> bytes:
         head, space, rest = text.partition(" ")
         if not space or not head or head[-1].isspace():
             return self.ids(text)
@@ -124,7 +147,7 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, offset, np.array(fill, np.int64)
 
 
-def _level(level: int, size: int, slack: int, carry: int, last: bool, fan: int):
+def _level(level: int, size: int, slack: int, last: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if t is None or not t.num_rows:
@@ -142,15 +165,13 @@ def _level(level: int, size: int, slack: int, carry: int, last: bool, fan: int):
             lengths, within = np.bincount(item, weights=t["length"].to_numpy()).astype(np.int64), t["offset"].to_numpy()
         bins, offset, fill = best_fit(lengths, size)
         final = (fill >= size - slack) | last
-        if (~final).sum() > carry:
-            final[np.argsort(fill, kind="stable")[carry:]] = True
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         cols = [t[c].combine_chunks() for c in names]
         cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
         seq = (level << 56) + (part << 30) + bins[item]
         yield pa.RecordBatch.from_arrays(
-            [*cols, pa.array(seq), pa.array(offset[item] + within), pa.array(final[bins[item]]), pa.array(np.full(t.num_rows, part // fan, np.int32))],
-            [*names, "sequence_id", "offset", "final", "part"],
+            [*cols, pa.array(seq), pa.array(offset[item] + within), pa.array(final[bins[item]])],
+            [*names, "sequence_id", "offset", "final"],
         )
 
     return rows
@@ -162,20 +183,26 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_piece_rows(size, path, end_id), PIECES)
 
 
-def pack(found: DataFrame, size: int = SIZE, items: int = ITEMS, fan: int = FAN, slack: int = SLACK, carry: int = CARRY) -> DataFrame:
+def pack(found: DataFrame, size: int = SIZE, items: int = ITEMS, fan: int = FAN, slack: int = SLACK) -> DataFrame:
     """Pieces with the sequence and the offset that each gets."""
     found = materialize(found, "pieces")
     short, names = found.where(F.col("length") < size), ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     whole = found.where(F.col("length") == size).select("*", ((F.lit(255 >> 2).cast("long") * F.lit(1 << 56)) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    n = max(1, -(-short.count() // items))
-    done, rest, level = whole.select(*names), short.repartition(n), 0
+    before = short.count()
+    n = max(1, -(-before // items))
+    done, rest, level, last = whole.select(*names), short.repartition(n), 0, False
     while True:
-        placed = materialize(rest.mapInArrow(_level(level, size, slack, carry, n == 1 and level > 0, fan), PLACED), f"packed{level}")
+        placed = materialize(rest.mapInArrow(_level(level, size, slack, last), PLACED), f"packed{level}")
         done = done.unionByName(placed.where("final").select(*names))
-        if n == 1 and level > 0:
+        if last:
             return done
-        n, level = -(-n // fan), level + 1
-        rest = placed.where("not final").repartition(n, "part") if n > 1 else placed.where("not final").coalesce(1)
+        left = placed.where("not final").count()
+        few = n == 1 and level == 0 or level and left > 0.99 * before
+        n, level, before = max(-(-n // fan), -(-left // items), 1), level + 1, left
+        if few:  # nothing more to win: these are sequences as they are
+            return done.unionByName(placed.where("not final").select(*names))
+        last = n == 1
+        rest = placed.where("not final").repartition(n, "sequence_id") if n > 1 else placed.where("not final").coalesce(1)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
