@@ -19,19 +19,22 @@ def held_out(id_col: str, mod: int, rest: int):
 
 
 def sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most so many rows of (doc_id, ...), chosen by a hash of the id, the same whatever the partitioning.
+    """At most so many different rows of (doc_id, ...), chosen by a hash of the id, the same whatever the partitioning.
 
-    Of a large table only hashes in the range where some `2 * most` rows are expected are sorted at all, so that what
-    meets in one place does not grow with the number of tasks.
+    Of a large table only hashes in the range where some `2 * most` ids are expected are compared and sorted at all, so
+    that what meets in one place does not grow with the number of tasks.  Rows that repeat count once.
     """
-    n = rows.count()
+    n = rows.agg(F.approx_count_distinct("doc_id")).first()[0]
     if n > 4 * most:
         rows = rows.where(F.xxhash64("doc_id") < int(2 * most / n * 2.0**64) - 2**63)
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return rows.dropDuplicates().orderBy(F.xxhash64("doc_id"), *rows.columns).limit(most)
 
 
 def gather(docs: DataFrame, chosen: DataFrame, kind: Callable, bits: int) -> list[tuple[int, int, np.ndarray]]:
-    """(doc_id, label, buckets) of the chosen rows (doc_id, label), bounded by `sample`, in the order of ids."""
+    """(doc_id, label, buckets) of the chosen rows (doc_id, label), bounded by `sample`, in the order of ids.
+
+    Where documents repeat an id, one of them is taken (the least by its buckets), so no more rows come than are chosen.
+    """
     tune(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +45,8 @@ def gather(docs: DataFrame, chosen: DataFrame, kind: Callable, bits: int) -> lis
                 out = [idx[ptr[i] : ptr[i + 1]].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(out, pa.binary())], ["doc_id", "label", "idx"])
 
-    found = docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(rows, "doc_id long, label int, idx binary").toArrow()
+    found = docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(rows, "doc_id long, label int, idx binary")
+    found = found.groupBy("doc_id", "label").agg(F.min("idx").alias("idx")).toArrow()
     got = zip(found["doc_id"].to_pylist(), found["label"].to_pylist(), (np.frombuffer(x.as_py(), np.int32) for x in found["idx"]))
     return sorted(got, key=lambda x: (x[0], x[1], x[2].tobytes()))
 

@@ -25,6 +25,8 @@ from . import _features, _labelled as L
 from ._spark import table
 
 POSITIVE, UNLABELLED, BITS, CUT = 4_000, 8_000, 18, 0.5
+#: Steps with either loss, of a batch of some 400 unlabelled texts each, whatever the number of texts.
+STEPS = 1_200
 
 
 class Model:
@@ -36,8 +38,8 @@ class Model:
 
     score = lambda self, idx, ptr: L.sigmoid(self.margin(idx, ptr))
 
-    def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 60, rate: float = 0.1, ridge: float = 3e-5, least: float = 6.0, seed: int = 7) -> Model:
-        """Adam on the non-negative risk, `rounds` with the logistic loss, and as many with the sigmoid loss from there.
+    def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, rate: float = 0.1, ridge: float = 3e-5, least: float = 6.0, seed: int = 7) -> Model:
+        """Adam on the non-negative risk, `steps` with the logistic loss, and as many with the sigmoid loss from there.
 
         Only buckets that differ between positive and unlabelled texts by at least `least` standard errors, and are in
         five texts or more, get a weight: a bucket that is as usual in both says nothing.
@@ -55,10 +57,12 @@ class Model:
         w, b = np.zeros(dims), float(np.log(prior / (1 - prior)))
         m, v, mb, vb, t = np.zeros(dims), np.zeros(dims), 0.0, 0.0, 0
         rng, parts = np.random.default_rng(seed), max(1, len(unlabelled) // 400)
-        for turn in range(2 * rounds):
-            bounded = turn >= rounds
+        while t < 2 * steps:
             order = zip(np.array_split(rng.permutation(len(positive)), parts), np.array_split(rng.permutation(len(unlabelled)), parts))
             for some_p, some_u in order:
+                if t == 2 * steps:
+                    break
+                bounded = t >= steps
                 if not len(some_p):
                     some_p = rng.integers(0, len(positive), 1)
                 idx, ptr = L.flat([positive[i] for i in some_p] + [unlabelled[i] for i in some_u])
