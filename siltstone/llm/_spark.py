@@ -7,16 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch: long texts make the default of 10,000 too large for a small executor.
-ARROW_ROWS = 512
+#: Bytes of an Arrow batch: 10,000 long texts are too much for a small executor.
+ARROW_BYTES = 4 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def tune(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches to so many rows, unless the session has fewer already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def tune(spark: SparkSession, size: int = ARROW_BYTES) -> None:
+    """Keep Arrow batches to so many bytes, unless the session has less already; the number of rows is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(key).rstrip("b")
+    if not found.isdigit() or int(found) > size:
+        spark.conf.set(key, str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:

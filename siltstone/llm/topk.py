@@ -151,7 +151,7 @@ def _searched(dims: int, k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, block: int | None = None) -> DataFrame:
     """The k best of vectors for each of queries, both (vec_id, v: array of long): query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    tune(spark, 64)
+    tune(spark)
     queries = queries.dropDuplicates(["vec_id"])
     n, dims = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     m, more = queries.agg(F.count("*"), F.max(F.size("v"))).first()
