@@ -7,7 +7,9 @@
    sum of as many numbers as there are domains; the gradient step and the projection on rates >= 0 are a column
    expression of the numbers so far, so no state but those few numbers is kept on the driver.  The squares are weighted
    by the domains' sizes and rates are measured by tokens, which makes steps nearly independent of the sizes.
-3. `copies` rounds the rate with a hash of the id, so that its expectation is the rate.
+3. `copies` rounds the rate with a hash of the id, so that its expectation is the rate; `residual` is the largest error
+   of a domain's expected total, as a share of all tokens, that the fit has left (0 nearly, unless no rates give the
+   targets, of which a warning tells).
 
 Words are counted within documents before anything is shuffled: one row a document and task.
 
@@ -22,6 +24,7 @@ start with `__m_`); empty tables give empty results.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ from . import _labelled as L
 from ._spark import materialize, table
 
 SAMPLE, BUCKETS, DOMAINS, WEIGHT, STEPS, CLOSE = 4_000, 1 << 14, 64, 64.0, 60, 1e-6
+#: Steps between written rates, and the relative error of a domain's total from which the caller is warned.
+WRITE, FAR = 8, 1e-3
 #: Weights of the registered query, by language.
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 
@@ -42,31 +47,41 @@ def _bucket() -> Column:
     return F.expr(f"cast(pmod(xxhash64(word), {BUCKETS}) as int)").alias("bucket")
 
 
-def model(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[float], DataFrame]:
-    """Domains, log shares, and (bucket, w0, w1, ...) of log P(bucket | domain); docs: doc_id, text; labelled: doc_id, domain."""
-    chosen = L.sample(labelled.where("doc_id is not null and domain is not null").select("doc_id", F.col("domain").cast("string").alias("domain")), most)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("domain", F.posexplode(_words()).alias("pos", "word"))
+def model(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[float], list[list[float]]]:
+    """Domains, log shares, and of each domain log P(bucket | domain); docs: doc_id, text; labelled: doc_id, domain.
+
+    Of rows that repeat a labelled id one text is read, the one with the least hash, so the sample bounds what is read.
+    """
+    chosen = L.sample(labelled.where("doc_id is not null and domain is not null").select("doc_id", F.col("domain").cast("string").alias("domain")).dropDuplicates(), most)
+    one = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select("domain", F.posexplode(_words()).alias("pos", "word"))
     counts = rows.groupBy("domain", _bucket()).agg(F.sum((F.col("word") != "").cast("long")).alias("n"), F.sum((F.col("pos") == 0).cast("long")).alias("docs"))
     counts = materialize(counts, "counts")
     of = {r["domain"]: (r["n"] or 0, r["docs"] or 0) for r in counts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).limit(DOMAINS + 1).collect()}
     if not of or len(of) > DOMAINS:
         raise ValueError(f"the labelled rows have {'no domain' if not of else f'more than {DOMAINS} domains'}")
     names = sorted(of)
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    wide = counts.groupBy("bucket").agg(*(F.sum(F.when(F.col("domain") == d, F.col("n"))).alias(f"c{k}") for k, d in enumerate(names)))
-    logs = [F.log((F.coalesce(f"c{k}", F.lit(0)) + 0.5) / (of[d][0] + 0.5 * BUCKETS)).alias(f"w{k}") for k, d in enumerate(names)]
+    found = {d: [0] * BUCKETS for d in names}
+    for r in counts.where("n > 0").select("domain", "bucket", "n").collect():  # BUCKETS x DOMAINS rows at most
+        found[r["domain"]][r["bucket"]] = r["n"]
+    logs = [[math.log((n + 0.5) / (of[d][0] + 0.5 * BUCKETS)) for n in found[d]] for d in names]
     total = sum(n for _, n in of.values())
-    return names, [math.log(max(of[d][1], 1) / max(total, 1)) for d in names], materialize(every.join(wide, "bucket", "left").select("bucket", *logs), "weights")
+    return names, [math.log(max(of[d][1], 1) / max(total, 1)) for d in names], logs
+
 
+def posteriors(docs: DataFrame, names: list[str], shares: list[float], weights: list[list[float]]) -> DataFrame:
+    """One row a document: doc_id, key (a hash of the text), n_tokens, posterior (array, by `names`); docs: doc_id, text.
 
-def posteriors(docs: DataFrame, names: list[str], shares: list[float], weights: DataFrame) -> DataFrame:
-    """One row a document: doc_id, key (a hash of the text), n_tokens, posterior (array, by `names`); docs: doc_id, text."""
+    Weights are literal arrays of the plan (BUCKETS numbers a domain), so a word is looked up by its position, in
+    generated code, without a join.
+    """
     many = len(names)
-    words = docs.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(_words()).alias("pos", "word"))
-    # the table of weights has BUCKETS rows
-    met = words.withColumn("bucket", _bucket()).join(F.broadcast(weights), "bucket")
-    solid = F.col("word") != ""
-    sums = met.groupBy("doc_id", "key").agg(F.sum((F.col("pos") == 0).cast("long")).alias("rows"), F.sum(solid.cast("long")).alias("n"), *(F.sum(F.when(solid, F.col(f"w{k}")).otherwise(0.0)).alias(f"w{k}") for k in range(many)))
+    tables = [F.split(F.lit(",".join(f"{x:.9g}" for x in w)), ",").cast("array<double>") for w in weights]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))  # before the words: it would be hashed anew for each
+    words = keyed.select("doc_id", "key", F.posexplode(_words()).alias("pos", "word"))
+    met = words.select("doc_id", "key", "pos", F.when(F.col("word") != "", _bucket()).alias("bucket"))
+    solid = F.col("bucket").isNotNull()
+    sums = met.groupBy("doc_id", "key").agg(F.sum((F.col("pos") == 0).cast("long")).alias("rows"), F.sum(solid.cast("long")).alias("n"), *(F.sum(F.when(solid, t[F.col("bucket")]).otherwise(0.0)).alias(f"w{k}") for k, t in enumerate(tables)))
     sums = sums.withColumn("n", F.expr("n div rows"))
     scale = F.least(F.lit(1.0), F.lit(WEIGHT) / F.greatest("n", F.lit(1))) / F.col("rows")
     logs = sums.select("doc_id", "key", "rows", F.col("n").alias("n_tokens"), *(F.round(F.col(f"w{k}") * scale, 6).alias(f"w{k}") for k in range(many)))
@@ -113,20 +128,24 @@ def rates(found: DataFrame, names: list[str], targets: dict[str, float], steps:
         error = [(a - b) / total for a, b in zip(now, goal)]
         if k == steps or max(map(abs, error)) < CLOSE:
             break
+        if k and k % WRITE == 0:  # or expressions would grow with the steps
+            found, rate = materialize(found.withColumn("rate", rate), "rates"), F.col("rate")
         pull = [step * (a - b) / s / s for a, b, s in zip(now, goal, size)]
         rate = F.greatest(F.lit(0.0), rate - sum((x * F.lit(g) for x, g in zip(p[1:], pull[1:])), p[0] * F.lit(pull[0])))
         got = found.agg(*(F.sum(F.col("n_tokens") * rate * x).alias(f"m{i}") for i, x in enumerate(p))).first()
         now = [got[f"m{i}"] for i in range(many)]
+    if max(map(abs, error)) >= FAR:
+        warnings.warn(f"no rates give these targets; relative errors of the totals: {dict(zip(names, error))}")
     return found.withColumn("rate", rate), error
 
 
 def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: int = SAMPLE) -> DataFrame:
-    """One row a document: doc_id, key, n_tokens, posterior, rate, copies; docs: doc_id, text; labelled: doc_id, domain."""
+    """One row a document: doc_id, key, n_tokens, posterior, rate, copies, residual; docs: doc_id, text; labelled: doc_id, domain."""
     docs = docs.select(F.col("doc_id"), F.col("text"))
     names, shares, weights = model(docs, labelled, most)
-    found, _ = rates(materialize(posteriors(docs, names, shares, weights), "posteriors"), names, targets)
+    found, error = rates(materialize(posteriors(docs, names, shares, weights), "posteriors"), names, targets)
     chance = F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << 30)) / float(1 << 30)
-    return found.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+    return found.withColumn("copies", F.floor(F.col("rate") + chance).cast("int")).withColumn("residual", F.lit(max(map(abs, error))))
 
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: int = SAMPLE) -> DataFrame:

@@ -1,9 +1,13 @@
+import collections
+import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from siltstone.llm import language_id, mixing, quality, toxicity
@@ -165,6 +169,35 @@ def test_mixing(spark):
         mixing.mixture(df, labelled.limit(0), {"p": 1.0})
 
 
+def test_posteriors_are_the_plain_ones(spark):
+    """Against Naive Bayes in plain Python, over the same buckets."""
+    rng = random.Random(8)
+    bucket = lambda w: (lambda h: h - 2**64 if h >= 2**63 else h)(xxhash.xxh64_intdigest(w.encode(), seed=42)) % mixing.BUCKETS
+    plain = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+    docs = [(i, "".join(rng.choice(["\t", " ", "  ", "\x0b\r"]) + rng.choice([k + x for x in "abcd"] + ["both", "é"]) for _ in range(rng.randint(0, 200))), k) for i in range(120) for k in ["p" if i % 3 else "q"]]
+    df = spark.createDataFrame([*docs, (500, None, None), (7, docs[7][1], "p")], "doc_id long, text string, lang string")
+    names, shares, weights = mixing.model(df, df.where("doc_id < 60").select("doc_id", F.col("lang").alias("domain")))
+    counts = {d: collections.Counter(bucket(w) for i, t, k in docs[:60] if k == d for w in plain(t)) for d in "pq"}
+    total = {d: sum(c.values()) for d, c in counts.items()}
+    assert names == ["p", "q"] and np.allclose(shares, [math.log(sum(k == d for _, _, k in docs[:60]) / 60) for d in names])
+    log = lambda d, w: math.log((counts[d][bucket(w)] + 0.5) / (total[d] + 0.5 * mixing.BUCKETS))
+    got = mixing.posteriors(df, names, shares, weights).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter([*range(120), 500, 7])
+    for r in got:
+        w = plain({i: t for i, t, _ in docs}.get(r["doc_id"]))
+        x = np.array([sum(log(d, y) for y in w) * min(1, mixing.WEIGHT / max(1, len(w))) + s for d, s in zip(names, shares)])
+        assert r["n_tokens"] == len(w) and np.allclose(r["posterior"], np.exp(x - x.max()) / np.exp(x - x.max()).sum(), atol=1e-4)
+
+
+def test_targets_out_of_reach(spark):
+    """A domain that always comes with another cannot weigh more than it: the residual says so."""
+    df = spark.createDataFrame([(i, "a b c d") for i in range(40)], "doc_id long, text string")
+    labelled = df.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "p").otherwise("q").alias("domain"))
+    with pytest.warns(UserWarning, match="no rates give these targets"):
+        got = mixing.mixture(df, labelled, {"p": 0.9, "q": 0.1}).collect()
+    assert all(0.3 < r["residual"] < 0.5 for r in got)
+
+
 def test_mixing_to_zero_and_without_targets(spark):
     df = spark.createDataFrame([(i, "a b c" if i % 3 else "x y z") for i in range(60)], "doc_id long, text string")
     labelled = df.select("doc_id", F.when(F.col("text") == "a b c", "p").otherwise("q").alias("domain"))
@@ -183,6 +216,44 @@ def test_sample_is_the_plain_one(spark):
     assert L.sample(rows, 30_000).count() == 20_000
 
 
+def test_repeated_ids_stay_within_the_bound(spark):
+    """A document that is there many times is one row of a sample and of what it gathers."""
+    from siltstone.llm import _features
+    from siltstone.llm import _labelled as L
+
+    docs = spark.range(300).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    chosen = L.sample(docs.select("doc_id").withColumn("label", F.lit(1)), 1000)
+    assert chosen.count() == 101
+    got = L.gather(docs, chosen, _features.bare, 18)
+    assert sorted(i for i, _, _ in got) == [7, *range(200, 300)]
+
+
+def risk(w, b, rows, n_pos, prior, bounded):
+    """The non-negative risk of a linear model, written out; rows: lists of buckets, positives first."""
+    f = [sum(w[k] for k in r) + b for r in rows]
+    loss = (lambda x: 1 / (1 + math.exp(x))) if bounded else (lambda x: math.log1p(math.exp(-x)))
+    pos = sum(loss(x) for x in f[:n_pos]) / n_pos
+    neg = sum(loss(-x) for x in f[n_pos:]) / (len(f) - n_pos) - prior * sum(loss(-x) for x in f[:n_pos]) / n_pos
+    return prior * pos + max(0.0, neg)
+
+
+def test_toxicity_fit_lowers_the_plain_risk():
+    rng = np.random.default_rng(3)
+    word = lambda k, n: rng.choice(np.arange(k, k + 40), n, replace=False)
+    pos = [np.sort(np.append(word(0, 8), 100)) for _ in range(80)]
+    unl = [np.sort(np.append(word(0, 8), 100)) if k % 5 == 0 else np.sort(word(0, 8)) for k in range(400)]
+    m = toxicity.Model(8).fit(pos, unl, 0.2, ridge=0.0)
+    start = risk(np.zeros(256), math.log(0.25), pos + unl, 80, 0.2, True)
+    end = risk(m.weight, m.bias, pos + unl, 80, 0.2, True)
+    assert end < 0.25 * start and end < 0.02
+    for k in (100, None):  # no small move lowers it by more than a trace
+        for s in (-0.1, 0.1):
+            w = m.weight.copy()
+            if k is not None:
+                w[k] += s
+            assert risk(w, m.bias + (0 if k is not None else s), pos + unl, 80, 0.2, True) > end - 2e-3
+
+
 def test_narrow_ids(spark, corpus):
     docs, labels = corpus
     narrow = docs.where("doc_id < 100").withColumn("doc_id", F.col("doc_id").cast("int"))
