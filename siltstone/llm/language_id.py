@@ -35,26 +35,58 @@ from ._features import LOWER
 from ._spark import materialize, table, tune
 
 SAMPLE, BITS, WEIGHT, KAPPA = 4_000, 16, 200.0, 5.0
-_SKIP = re.compile(r"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
+_OPEN = re.compile(r"<(script|style|noscript)\b", re.I)
+_CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript")}
 _HTML = re.compile(r"<html\b", re.I)
 _LANG = re.compile(r"\blang\s*=\s*(?:[\"']\s*)?([A-Za-z]{2,3})\b", re.I)
 
 
+def parsed(page: str) -> tuple[str, str]:
+    """A page's text without markup, scripts and comments, and the language of the first html tag that has one.
+
+    One pass: what has no end is searched for it once, and then is a tag like others, or text where no tag ends.
+    """
+    out, at, said, endless = [], 0, "", set()
+
+    def ends(what: str, found) -> int:
+        if what in endless or found is None:
+            endless.add(what)
+            return -1
+        return found
+
+    while (tag := page.find("<", at)) >= 0:
+        out.append(page[at:tag])
+        at = -1
+        if page.startswith("<!--", tag):
+            at = -1 if "-->" in endless else page.find("-->", tag + 4)
+            at = ends("-->", at + 3 if at >= 0 else None)
+        elif skip := _OPEN.match(page, tag):
+            name = skip[1].lower()
+            close = None if name in endless else _CLOSE[name].search(page, skip.end())
+            at = ends(name, close and close.end())
+        if at < 0:
+            at = page.find(">", tag) + 1
+            if not at:
+                return html.unescape("".join((*out, page[tag:]))), said or _said(page, tag, len(page))
+            said = said or _said(page, tag, at - 1)
+        out.append(" ")
+    out.append(page[at:])
+    return html.unescape("".join(out)), said
+
+
+def _said(page: str, tag: int, end: int) -> str:
+    found = _HTML.match(page, tag) and _LANG.search(page, tag + 5, end)
+    return found[1].lower() if found else ""
+
+
 def readable(page: str) -> str:
     """A page's text without markup, scripts and comments."""
-    return html.unescape(_TAG.sub(" ", _SKIP.sub(" ", page)))
+    return parsed(page)[0]
 
 
 def declared(page: str) -> str:
-    """The language of the first html tag that has one, anywhere in the page; tags are scanned once each."""
-    at = 0
-    while tag := _HTML.search(page, at):
-        at = page.find(">", tag.end())
-        at = len(page) if at < 0 else at
-        if found := _LANG.search(page, tag.end(), at):
-            return found[1].lower()
-    return ""
+    """The language of the first html tag that has one, anywhere in the page but in comments and scripts."""
+    return parsed(page)[1]
 
 
 def _trigrams(text: bytes) -> np.ndarray:
@@ -114,10 +146,10 @@ def identify(pages: DataFrame, docs: DataFrame, most: int = SAMPLE) -> DataFrame
         for b in batches:
             like, said = [], []
             for page in b.column(2).to_pylist():
-                page = page or ""
-                t = _trigrams(readable(page).encode("utf-8", "replace"))
+                text, value = parsed(page or "")
+                t = _trigrams(text.encode("utf-8", "replace"))
                 like.append((table_[:, t].sum(1, dtype=np.float64) * min(1.0, WEIGHT / max(1, len(t)))).tolist())
-                said.append(declared(page))
+                said.append(value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string()), pa.array(like, pa.list_(pa.float64()))], ["page_id", "host", "declared", "likelihood"])
 
     seen = pages.select(F.col("page_id").cast("long"), host_of(F.col("url")).alias("host"), "html").mapInArrow(read, "page_id long, host string, declared string, likelihood array<double>")

@@ -3,6 +3,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -140,6 +141,46 @@ def test_declared_anywhere():
     assert language_id.declared("<html " * 100_000 + "lang=" + " " * 100_000) == ""
 
 
+def test_pages_are_parsed_in_one_pass():
+    assert language_id.declared("<!-- <html lang=de> --><script>'<html lang=es>'</script ><html lang=fr>") == "fr"
+    assert language_id.readable("a<b>c</b><style>x</style>d<!-- e -->f&amp;<script>g") == "a c  d f& g"
+    assert language_id.readable("1 < 2 and <p no end") == "1 < 2 and <p no end"
+    start = time.time()
+    for page in ("<script " * 200_000, "<script>" * 200_000, "<!--" * 300_000, "<" * 1_000_000, "</script" * 100_000 + "<script>" * 100_000 + ">", "<!-->" * 200_000):
+        language_id.parsed(page)
+    assert time.time() - start < 10
+
+
+def test_fusion_is_the_plain_one(spark):
+    """Posteriors with host priors and declared values, in plain Python from the same likelihoods."""
+    rng = random.Random(6)
+    voices = {"xx": "aeiou", "yy": "bcdfg"}
+    text = lambda k, n: "".join(rng.choices(voices[k], k=n))
+    docs = spark.createDataFrame([(i, text(k, 80), k) for i, k in enumerate(list(voices) * 15)], "doc_id long, text string, lang string")
+    pages = [(i, f"http://h{i % 4}.{'ab'[i % 2]}", f"<html lang={rng.choice(['xx', 'yy', 'zz'])}>" * (i % 3 > 0) + text(rng.choice(list(voices)), rng.randint(0, 6))) for i in range(60)]
+    got = {r["page_id"]: r for r in language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    langs, model, share = language_id.train(docs)
+    like, post = {}, {}
+    for i, _, page in pages:
+        t = language_id._trigrams(language_id.readable(page).encode())
+        like[i] = model[:, t].sum(1, dtype=float) * min(1, language_id.WEIGHT / max(1, len(t)))
+        e = np.exp(like[i] + np.log(share))
+        post[i] = e / e.sum()
+    total = sum(post.values()) + share
+    total = total / total.sum()
+    by = lambda key: {k: sum(post[i] for i, u, h in pages if key(u, h) == k) for k in {key(u, h) for _, u, h in pages}}
+    host, suffix, said = by(lambda u, _: u[7:]), by(lambda u, _: u[-1]), by(lambda _, h: language_id.declared(h))
+    for i, u, page in pages:
+        up = (suffix[u[-1]] + 5 * total) / (suffix[u[-1]].sum() + 5)
+        rest = host[u[7:]] - post[i]
+        x = like[i] + np.log((rest + 5 * up) / (rest.sum() + 5))
+        d = language_id.declared(page)
+        if d:
+            x += np.log((said[d] + 1) / (sum(said.values()) + 1 + len(said)))
+        p = np.exp(x - x.max())
+        assert got[i]["lang"] == langs[int(p.argmax())] and abs(got[i]["probability"] - (p / p.sum()).max()) < 1e-6 and got[i]["declared"] == d
+
+
 def test_mixing(spark):
     rng = random.Random(5)
     docs = [(i, " ".join(rng.choices([k + x for x in "abcdefg"] + ["both"], k=rng.randint(1, 80))), k) for i in range(400) for k in [rng.choice("pppq")]]
