@@ -81,7 +81,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     zip_ = zstandard.ZstdCompressor(level=1)
     for b in batches:
         z = [zip_.compress(x.as_buffer()) if x.is_valid else None for x in b.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], ["doc_id", "z"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), *b.columns[2:]], ["doc_id", "z", *b.schema.names[2:]])
 
 
 def _unpack(col: pa.Array) -> list[bytes]:
@@ -170,14 +170,14 @@ def _kept_rows(width: int, with_text: bool):
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
-                cols, names = [*cols, pa.array(kept, pa.string())], [*names, "kept_text"]
+                cols, names = [*cols, pa.array(kept, pa.string()), b.column(4)], [*names, "kept_text", "text_key"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return rows
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, with_text: bool = False) -> DataFrame:
-    """One row a document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), and kept_text if asked for."""
+    """One row a document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), and kept_text and text_key (a hash of the text) if asked for."""
     if width < 2:
         raise ValueError("a window has two words at least")
     tune(docs.sparkSession)
@@ -196,17 +196,25 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     earlier = materialize(earlier, "earlier")  # both sides of the join are then plain exchanges, which AQE can split
     single = windows.join(earlier, ["h1", "h2"]).where("doc_id > first").select("doc_id", F.lit(1).alias("kind"), F.col("h1").alias("h"))
     gone = settled.unionAll(single).groupBy("doc_id").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("h"))).alias(n) for k, n in enumerate(("settled", "single"))))
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    both = docs.mapInArrow(_pack, "doc_id long, z binary").join(gone.hint("shuffle_hash"), "doc_id", "left")
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, text_key long" * with_text
+    whole = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))) if with_text else docs
+    both = whole.mapInArrow(_pack, "doc_id long, z binary" + ", text_key long" * with_text).join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "z", "settled", "single", *["text_key"] * with_text)
     return both.mapInArrow(_kept_rows(width, with_text), out)
 
 
 def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """The documents with their words that stay, joined by one space, as kept_text; a row for each different id."""
+    """The documents, all rows and columns, with their words that stay, joined by one space, as kept_text.
+
+    Results come back by id and text, so rows that repeat an id get what their own text gives, and rows with a null id
+    keep all their words.
+    """
     if clash := {"n_words", "n_removed", "kept_text"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
-    kept = removals(docs, id_col, text_col, width, with_text=True).drop("kept_sha256").withColumnRenamed("doc_id", "__id")
-    return docs.join(kept, docs[id_col] == kept["__id"], "left").drop("__id")
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = removals(docs, id_col, text_col, width, with_text=True).select(F.col("doc_id").alias("__s_id"), F.col("text_key").alias("__s_key"), "n_words", "n_removed", "kept_text")
+    kept = kept.dropDuplicates(["__s_id", "__s_key"]).hint("shuffle_hash")
+    met = docs.withColumn("__s_key0", key).join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__s_id")) & (F.col("__s_key0") == F.col("__s_key")), "left")
+    return met.drop("__s_key0", "__s_id", "__s_key")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

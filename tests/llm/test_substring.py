@@ -37,3 +37,9 @@ def test_empty_table_and_texts(spark):
     assert got == {1: ("a b c d", 9), 2: ("x", 8)}
     with pytest.raises(ValueError):
         S.remove_substrings(df.withColumn("kept_text", F.lit(1)))
+
+
+def test_repeated_and_null_ids_keep_their_texts(spark):
+    docs = [(1, "p q r s"), (None, "p q r"), (6, "p q r"), (6, "r s t"), (6, "r s t"), (None, None), (7, None)]
+    got = sorted(((r["doc_id"], r["text"], r["kept_text"], r["n_removed"]) for r in S.remove_substrings(spark.createDataFrame(docs, SCHEMA), width=3).collect()), key=str)
+    assert got == sorted([(1, "p q r s", "p q r s", 0), (None, "p q r", "p q r", 0), (6, "p q r", "", 3), (6, "r s t", "r s t", 0), (6, "r s t", "r s t", 0), (None, None, "", 0), (7, None, "", 0)], key=str)
