@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,25 @@ def test_a_small_vocabulary_with_failures():
         assert a.counts(data, np.array([0]), np.array([len(data)]))[0] == brute.pieces(w, v), w
 
 
+def test_long_words_take_linear_time():
+    a = C.Automaton(C.pieces_of())
+    word, rng = bytearray(), random.Random(5)
+    while len(word) < 1 << 20:
+        word += rng.choice([b"abc", b"the", b"unlikely", b"0", b"zz", "é".encode()])
+    data = np.frombuffer(bytes(word) + b"short" * 3, np.uint8)
+    starts, ends = np.array([0, len(word), len(word) + 5]), np.array([len(word), len(word) + 5, len(word) + 15])
+    start = time.time()
+    got = a.counts(data, starts, ends)
+    assert time.time() - start < 10 and got[0] == brute.pieces(bytes(word).decode(), C.pieces_of())
+    few, C.FEW = C.FEW, 0  # all in step
+    try:
+        part = np.frombuffer(b"unlikelyabcthe" * 200, np.uint8)
+        want = [brute.pieces(part[x:y].tobytes().decode(), C.pieces_of()) for x, y in ((0, 2000), (2000, 2800))]
+        assert a.counts(part, np.array([0, 2000]), np.array([2000, 2800])).tolist() == want
+    finally:
+        C.FEW = few
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(700, 9)).round(1)
