@@ -21,19 +21,21 @@ def tune(spark: SparkSession, size: int = ARROW_BYTES) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine (tests)."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = sc.getCheckpointDir()
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends in files that any executor can read.
+def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as Parquet in the shared folder, in folders by columns if asked, and read it back: lineage ends in files that any executor can read.
 
     The shuffle files of the write are of no more use then, and go at once instead of with the driver's next garbage.
     """
@@ -42,10 +44,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialize` that nothing reads any more: what was made of them has been written."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

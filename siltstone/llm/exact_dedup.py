@@ -1,11 +1,11 @@
 """Exact dedup with DataFrame functions only: two passes of a Bloom filter, then only possibly repeated rows shuffle.
 
 Texts are equal if they are identical after deleting every character of `[\\x20\\x09-\\x0D]`.  Pass one hashes every
-normalised text to two cells of a filter and keeps the cells that two or more rows hit, packed into 64-bit words: at
-most 2**26 / 64 rows, whatever the input, and so safe to broadcast.  Pass two tests every row against both its cells.
-Rows that miss are alone and pass straight through, never shuffled; rows that hit are grouped by the SHA-256 of the
-normalised text.  A cell that is full by chance only sends a row the longer way.  The filter has 16 cells a row up to
-2**26 cells; beyond 4 million rows more of the rows take the longer way, and the result is the same.
+normalised text to two cells of a filter and keeps the cells that two or more rows hit, packed into 64-bit words.  Pass
+two tests every row against both its cells.  Rows that miss are alone and pass straight through, never shuffled; rows
+that hit are grouped by the SHA-256 of the normalised text.  A cell that is full by chance only sends a row the longer
+way.  The filter has 16 cells a row at any size: where that is more than `MOST_CELLS`, rows are written in folders by
+ranges of hashes, and each range has a filter of its own of at most `MOST_CELLS` / 64 words, and so safe to broadcast.
 
 Of equal texts the one with the most code points in the original text stays, then the smallest doc_id.
 
@@ -16,6 +16,8 @@ one id are one document, marked alike, though group_size counts them; other colu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +41,21 @@ def _cells(cells: int) -> list[Column]:
     return [F.pmod(F.col("__x_h"), F.lit(cells)), F.pmod(F.xxhash64(F.col("__x_h")), F.lit(cells))]
 
 
-def _tested(docs: DataFrame, text_col: str, cells: int | None) -> DataFrame:
-    """docs with `__x_h` and `__x_maybe`: whether another row may have the same text."""
+def _tested(hashed: DataFrame, rows: int, cells: int | None, most: int) -> DataFrame:
+    """hashed, with `__x_h`, and `__x_maybe`: whether another row may have the same text."""
     if cells is None:
         cells = LEAST_CELLS
-        rows = docs.count()
-        while cells < MOST_CELLS and cells < rows * CELLS_A_ROW:
+        while cells < rows * CELLS_A_ROW:
             cells *= 2
-    hashed = docs.withColumn("__x_h", F.xxhash64(normalized(F.col(text_col))))
+    if cells <= most:
+        return _range_tested(hashed, cells)
+    ranges = cells // most
+    found = materialize(hashed.withColumn("__x_range", F.expr(f"cast(pmod(shiftright(__x_h, 32), {ranges}) as int)")), "ranges", ("__x_range",))
+    parts = [_range_tested(found.where(F.col("__x_range") == k).drop("__x_range"), most) for k in range(ranges)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _range_tested(hashed: DataFrame, cells: int) -> DataFrame:
     words = materialize(_filter_words(hashed.select("__x_h"), cells), "filter")  # read twice here, and by each later query
     for k, cell in enumerate(_cells(cells)):
         side = F.broadcast(words.select(F.col("word").alias(f"__x_w{k}"), F.col("bits").alias(f"__x_b{k}")))
@@ -61,10 +70,12 @@ def _winners(rows: DataFrame) -> DataFrame:
     return rows.groupBy("text_sha256").agg(best, F.count("*").alias("group_size")).select("text_sha256", F.col("best.doc_id").alias("keep_id"), "group_size")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None) -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None, most: int = MOST_CELLS) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = _tested(docs, "text", cells).select("doc_id", F.sha2(normalized(F.col("text")), 256).alias("text_sha256"), F.char_length(F.coalesce("text", F.lit(""))).alias("n"), "__x_maybe")
+    plain = docs.select(F.col(id_col).alias("doc_id"), normalized(F.col(text_col)).alias("plain"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
+    # texts are read and normalised once; all that follows reads this table, a small part of them
+    slim = materialize(plain.select("doc_id", F.sha2("plain", 256).alias("text_sha256"), F.xxhash64("plain").alias("__x_h"), "n"), "hashes")
+    rows = _tested(slim, slim.count(), cells, most)
     alone = rows.where("not __x_maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = rows.where("__x_maybe").select("doc_id", "text_sha256", "n")
     # a table of its own, so that both sides of the join are plain exchanges and AQE can split a large group
@@ -73,11 +84,11 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return alone.unionByName(met)
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None) -> DataFrame:
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None, most: int = MOST_CELLS) -> DataFrame:
     """The documents that stay, with all their columns; rows that cannot have a copy are not shuffled."""
-    rows = _tested(docs, text_col, cells)
+    rows = _tested(docs.withColumn("__x_h", F.xxhash64(normalized(F.col(text_col)))), docs.count(), cells, most)
     maybe = rows.where("__x_maybe")
-    slim = maybe.select(F.col(id_col).alias("doc_id"), F.sha2(normalized(F.col(text_col)), 256).alias("text_sha256"), F.char_length(F.coalesce(text_col, F.lit(""))).alias("n"))
+    slim = maybe.select(F.col(id_col).alias("doc_id"), F.sha2(normalized(F.col(text_col)), 256).alias("text_sha256"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
     stay = _winners(slim).select(F.col("keep_id").alias("__x_keep"))
     met = maybe.join(stay.distinct(), F.col(id_col).eqNullSafe(F.col("__x_keep")), "left_semi")
     return rows.where("not __x_maybe").unionByName(met).select(*docs.columns)

@@ -32,6 +32,16 @@ def test_kept_rows_have_all_columns(spark):
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([*{w[1] for w in want(DOCS)}, 12], key=str)
 
 
+def test_ranges_with_filters_of_their_own(spark):
+    docs = [(i, f"text {i // 3 if i % 2 else i}") for i in range(200)] + DOCS
+    docs = [(i if i is None else i + 1000 * (k >= 200), t) for k, (i, t) in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = X.duplicate_groups(df, most=1 << 10).collect()  # 4 ranges
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in got), key=str) == want(docs)
+    left = X.drop_duplicates(df.withColumn("m", F.lit(1)), most=1 << 10)
+    assert left.columns == ["doc_id", "text", "m"] and {r["doc_id"] for r in left.collect()} == {w[1] for w in want(docs)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert X.duplicate_groups(df).count() == 0 and X.drop_duplicates(df).count() == 0
