@@ -47,8 +47,8 @@ def _bucket() -> Column:
     return F.expr(f"cast(pmod(xxhash64(word), {BUCKETS}) as int)").alias("bucket")
 
 
-def model(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[float], list[list[float]]]:
-    """Domains, log shares, and of each domain log P(bucket | domain); docs: doc_id, text; labelled: doc_id, domain.
+def model(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[float], DataFrame]:
+    """Domains, log shares, and a row with an array w0, w1, ... of log P(bucket | domain) for each domain; docs: doc_id, text; labelled: doc_id, domain.
 
     Of rows that repeat a labelled id one text is read, the one with the least hash, so the sample bounds what is read.
     """
@@ -61,22 +61,24 @@ def model(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE) -> tuple[lis
     if not of or len(of) > DOMAINS:
         raise ValueError(f"the labelled rows have {'no domain' if not of else f'more than {DOMAINS} domains'}")
     names = sorted(of)
-    found = {d: [0] * BUCKETS for d in names}
-    for r in counts.where("n > 0").select("domain", "bucket", "n").collect():  # BUCKETS x DOMAINS rows at most
-        found[r["domain"]][r["bucket"]] = r["n"]
-    logs = [[math.log((n + 0.5) / (of[d][0] + 0.5 * BUCKETS)) for n in found[d]] for d in names]
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    wide = counts.groupBy("bucket").agg(*(F.sum(F.when(F.col("domain") == d, F.col("n"))).alias(f"c{k}") for k, d in enumerate(names)))
+    logs = [F.log((F.coalesce(f"c{k}", F.lit(0)) + 0.5) / (of[d][0] + 0.5 * BUCKETS)).alias(f"w{k}") for k, d in enumerate(names)]
+    rows = F.array_sort(F.collect_list(F.struct("bucket", *(f"w{k}" for k in range(len(names))))))
+    one = every.join(wide, "bucket", "left").select("bucket", *logs).agg(rows.alias("rows"))
     total = sum(n for _, n in of.values())
-    return names, [math.log(max(of[d][1], 1) / max(total, 1)) for d in names], logs
+    shares = [math.log(max(of[d][1], 1) / max(total, 1)) for d in names]
+    return names, shares, materialize(one.select(*(F.col(f"rows.w{k}").alias(f"w{k}") for k in range(len(names)))), "weights")
 
 
-def posteriors(docs: DataFrame, names: list[str], shares: list[float], weights: list[list[float]]) -> DataFrame:
+def posteriors(docs: DataFrame, names: list[str], shares: list[float], weights: DataFrame) -> DataFrame:
     """One row a document: doc_id, key (a hash of the text), n_tokens, posterior (array, by `names`); docs: doc_id, text.
 
-    Weights are literal arrays of the plan (BUCKETS numbers a domain), so a word is looked up by its position, in
+    Weights come as scalar subqueries, arrays of BUCKETS numbers a domain, so a word is looked up by its position, in
     generated code, without a join.
     """
     many = len(names)
-    tables = [F.split(F.lit(",".join(f"{x:.9g}" for x in w)), ",").cast("array<double>") for w in weights]
+    tables = [weights.select(f"w{k}").scalar() for k in range(many)]
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))  # before the words: it would be hashed anew for each
     words = keyed.select("doc_id", "key", F.posexplode(_words()).alias("pos", "word"))
     met = words.select("doc_id", "key", "pos", F.when(F.col("word") != "", _bucket()).alias("bucket"))
