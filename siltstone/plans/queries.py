@@ -389,13 +389,13 @@ def j7_view_map(spark, d):
     return e.join(v, e["path"] == v["derived_from"], "left").select("path", "view")
 
 
-@query("""WITH n AS (SELECT p_partkey AS k, p_name || '.dat' AS base FROM part WHERE p_partkey % 4 = 0), o AS (SELECT p_partkey AS ok, p_name || '.dat' AS obase FROM part WHERE p_partkey % 4 = 1),
-m AS (SELECT k, ok, base, obase, len(list_filter(range(1, 65), lambda i: i <= least(length(base), length(obase)) AND left(base, i) = left(obase, i))) AS lcp FROM n JOIN o ON left(base, 3) = left(obase, 3)),
+@query("""WITH n AS (SELECT p_partkey AS k, p_name || '.dat' AS base FROM part WHERE p_size > 25), o AS (SELECT p_partkey AS ok, p_name || '.dat' AS obase FROM part WHERE p_size <= 25),
+m AS (SELECT k, ok, base, obase, len(list_filter(range(1, least(length(base), length(obase)) + 1), lambda i: left(base, i) = left(obase, i))) AS lcp FROM n JOIN o ON left(base, 3) = left(obase, 3)),
 f AS (SELECT k, ok, CASE WHEN base = obase THEN 1073741824 ELSE lcp END AS score FROM m WHERE lcp >= 3 AND lcp * 2 >= least(length(base), length(obase)))
 SELECT k AS entry_ord, ok AS old_entry_ord, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, ok DESC) AS INTEGER) AS rank FROM f QUALIFY rank <= 3""")
 def j8_name_candidates(spark, d):
-    p = _t(spark, d, "part").select(F.col("p_partkey").alias("entry_ord"), F.concat("p_name", F.lit(".dat")).alias("path"))
-    return similarity.name_candidates(p.where("entry_ord % 4 = 0"), p.where("entry_ord % 4 = 1"))
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("entry_ord"), F.concat("p_name", F.lit(".dat")).alias("path"), "p_size")
+    return similarity.name_candidates(p.where("p_size > 25"), p.where("p_size <= 25"))
 
 
 @query(C_SQL + """, cand AS (SELECT n.entry_ord, o.entry_ord AS old FROM (SELECT DISTINCT entry_ord FROM c) n JOIN (SELECT DISTINCT entry_ord FROM c) o ON o.entry_ord BETWEEN n.entry_ord - 20 AND n.entry_ord - 1)

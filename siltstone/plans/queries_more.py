@@ -190,11 +190,11 @@ def j18_views_of(spark, d):
     return v.where(F.col("derived_from").startswith("src3/en/")).select("view")
 
 
-@query("""WITH n AS (SELECT p_partkey AS k, p_name AS x FROM part WHERE p_partkey % 4 = 0), o AS (SELECT p_partkey AS ok, p_name AS y FROM part WHERE p_partkey % 4 = 1)
-SELECT k AS entry_ord, ok AS best FROM (SELECT k, ok, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN x = y THEN 1073741824 ELSE lcp END DESC, ok DESC) AS r FROM (SELECT *, len(list_filter(range(1, 65), lambda i: i <= least(length(x), length(y)) AND left(x, i) = left(y, i))) AS lcp FROM n JOIN o ON left(x, 3) = left(y, 3)) WHERE lcp >= 3 AND lcp * 2 >= least(length(x), length(y))) WHERE r = 1""")
+@query("""WITH n AS (SELECT p_partkey AS k, p_name AS x FROM part WHERE p_size > 25), o AS (SELECT p_partkey AS ok, p_name AS y FROM part WHERE p_size <= 25)
+SELECT k AS entry_ord, ok AS best FROM (SELECT k, ok, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN x = y THEN 1073741824 ELSE lcp END DESC, ok DESC) AS r FROM (SELECT *, len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: left(x, i) = left(y, i))) AS lcp FROM n JOIN o ON left(x, 3) = left(y, 3)) WHERE lcp >= 3 AND lcp * 2 >= least(length(x), length(y))) WHERE r = 1""")
 def w6_best_candidate(spark, d):
-    p = _t(spark, d, "part").select(F.col("p_partkey").alias("entry_ord"), F.col("p_name").alias("path"))
-    return similarity.name_candidates(p.where("entry_ord % 4 = 0"), p.where("entry_ord % 4 = 1"), 1).select("entry_ord", F.col("old_entry_ord").alias("best"))
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("entry_ord"), F.col("p_name").alias("path"), "p_size")
+    return similarity.name_candidates(p.where("p_size > 25"), p.where("p_size <= 25"), 1).select("entry_ord", F.col("old_entry_ord").alias("best"))
 
 
 @query(E_SQL + """, l AS (SELECT entry_ord, string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS v FROM e WHERE text <> '')
