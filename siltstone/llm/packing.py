@@ -4,7 +4,7 @@ Every document becomes token ids and a closing id 0, cut into pieces of at most
 first piece may then be shorter).  Pieces are dealt to partitions of about `ITEMS` pieces; each is packed best fit,
 longest first, into bins of `size`.  Bins with at most `slack` free places, and pieces of full size, are final.  The
 rest travel on as single items, `fan` partitions to one, and are packed again, until one partition is left, or a round
-has closed less than a hundredth of them.  A task never gets more than some `items` pieces: where more are left they
+has closed less than a hundredth of them: then only bins at most half full meet, in one task.  A task never gets more than some `items` pieces: where more are left they
 go to more partitions.  (Two bins that are both over half full never share a sequence, and best fit leaves one bin a
 task that is not; so after the first round there is little left to win, and rounds end soon.)
 
@@ -37,7 +37,7 @@ SIZE, ITEMS, FAN, SLACK = 2048, 1 << 17, 8, 8
 #: Words of the cache, of at most so many characters each.
 CACHE, LONGEST = 300_000, 40
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECES + ", sequence_id long, offset long, final boolean"
+PLACED = PIECES + ", sequence_id long, offset long, final boolean, low boolean"
 _SPACES = re.compile(r"\s")
 
 
@@ -170,8 +170,8 @@ def _level(level: int, size: int, slack: int, last: bool):
         cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
         seq = (level << 56) + (part << 30) + bins[item]
         yield pa.RecordBatch.from_arrays(
-            [*cols, pa.array(seq), pa.array(offset[item] + within), pa.array(final[bins[item]])],
-            [*names, "sequence_id", "offset", "final"],
+            [*cols, pa.array(seq), pa.array(offset[item] + within), pa.array(final[bins[item]]), pa.array((2 * fill <= size)[bins[item]])],
+            [*names, "sequence_id", "offset", "final", "low"],
         )
 
     return rows
@@ -199,8 +199,11 @@ def pack(found: DataFrame, size: int = SIZE, items: int = ITEMS, fan: int = FAN,
         left = placed.where("not final").count()
         few = n == 1 and level == 0 or level and left > 0.99 * before
         n, level, before = max(-(-n // fan), -(-left // items), 1), level + 1, left
-        if few:  # nothing more to win: these are sequences as they are
+        if few and level == 1:  # all were in one task
             return done.unionByName(placed.where("not final").select(*names))
+        if few:  # bins over half full are sequences as they are; at most one a task is not, and these meet in one
+            done = done.unionByName(placed.where("not final and not low").select(*names))
+            placed, n = placed.where("low").repartition(1), 1
         last = n == 1
         rest = placed.where("not final").repartition(n, "sequence_id") if n > 1 else placed.where("not final").coalesce(1)
 

@@ -71,3 +71,14 @@ def test_best_fit_is_tight():
 
 def test_empty(spark):
     assert P.pack(P.pieces(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_half_empty_bins_of_all_tasks_meet(spark):
+    """Rounds that close nothing leave one bin a task that is at most half full; these can still share a sequence."""
+    rows = [(k, 0, 0, 70 if k % 3 else 40, k) for k in range(600)]
+    got = P.pack(spark.createDataFrame(rows, P.PIECES).repartition(4), size=100, items=20, fan=8, slack=0).collect()
+    fill = defaultdict(int)
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert sorted((r["doc_id"], r["length"]) for r in got) == [(k, n) for k, _, _, n, _ in rows] and max(fill.values()) <= 100
+    assert sum(n <= 50 for n in fill.values()) <= 1 and len(fill) == 500
