@@ -5,7 +5,7 @@ classes, each document to unit length, and a linear hinge-loss model is fitted b
 becomes a probability by a logistic curve fitted on documents that a first model has not seen.
 
 The model is fitted on the driver from at most `MOST` labelled rows (a bound, not a share: 10,000 rows of some thousand
-buckets are about 50 MB); scoring reads every whole text once, without a shuffle.
+buckets are about 50 MB; what the fit took beside them is given back); scoring reads every whole text once, without a shuffle.
 
 Cases: a null or empty text has no features and gets the score of the bias alone; a label that is null teaches nothing;
 a null id is never held out and is scored; rows that repeat an id are scored each; other columns are ignored, or kept
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _features, _labelled as L
-from ._spark import table
+from ._spark import give_back, table
 
 MOST, BITS, CUT = 10_000, 18, 0.7
 
@@ -109,7 +109,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, bits: int = BITS
     """A model from at most `most` rows of labels (doc_id, label) that are not null."""
     chosen = L.sample(labels.where("doc_id is not null and label is not null").select("doc_id", F.col("label").cast("int").alias("label")), most)
     got = L.gather(docs.select("doc_id", "text"), chosen, _features.style, bits)
-    return Model(bits).fit([x for _, _, x in got], np.array([y for _, y, _ in got], int))
+    model = Model(bits).fit([x for _, _, x in got], np.array([y for _, y, _ in got], int))
+    del got
+    give_back()
+    return model
 
 
 def scores(docs: DataFrame, labels: DataFrame, most: int = MOST, cut: float = CUT) -> DataFrame:

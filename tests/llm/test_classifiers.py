@@ -3,6 +3,8 @@ import math
 import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -299,3 +301,36 @@ def test_narrow_ids(spark, corpus):
     docs, labels = corpus
     narrow = docs.where("doc_id < 100").withColumn("doc_id", F.col("doc_id").cast("int"))
     assert quality.scores(narrow, labels).count() == 100 and toxicity.scores(narrow, labels).count() == 100
+
+
+KEPT = """
+import re, sys
+import numpy as np
+from siltstone.llm import quality
+
+class Rows:
+    where = select = lambda self, *_: self
+
+def gathered(*_):
+    rng = np.random.default_rng(3)
+    raw = [np.unique(rng.integers(0, 1 << 17, rng.integers(300, 1200)) + (i % 2 << 16)).astype(np.int32).tobytes() for i in range(10_000)]
+    return sorted(((i, i % 2, np.frombuffer(x, np.int32)) for i, x in enumerate(raw)), key=lambda x: (x[0], x[2].tobytes()))
+
+def mb():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+quality.L.sample, quality.L.gather = (lambda rows, most: rows), gathered
+quality.F = type("F", (), {"col": lambda x: quality.F, "alias": lambda x: x, "cast": lambda x: quality.F})
+quality.descend = lambda *a, f=quality.descend, **k: f(*a, **k, rounds=1)
+before = mb()
+model = quality.train(Rows(), Rows())
+print(mb() - before)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_a_fit_leaves_little_memory_behind():
+    """A process of its own, as other tests leave free memory that a fit could take."""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = subprocess.run([sys.executable, "-c", KEPT], cwd=top, capture_output=True, text=True, timeout=120, check=True)
+    assert float(got.stdout) < 30
