@@ -132,3 +132,16 @@ def test_request_lines(spark):
 def test_joins_of_names_are_not_broadcast(spark):
     df = spark.range(50).select(F.col("id").alias("entry_ord"), F.concat(F.lit("name"), "id").alias("path"))
     assert "BroadcastHashJoin" not in similarity.name_candidates(df, df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_entries_of_one_name_make_no_pairs(spark):
+    new = spark.range(3000).select("id", F.lit("d/same.dat").alias("path")).unionByName(spark.createDataFrame([(9000, "d/samey.dat"), (9001, "d/same.dat"), (9001, "d/same.dat"), (9002, None)], "id long, path string")).withColumnRenamed("id", "entry_ord")
+    old = spark.range(20_000, 23_000).select(F.col("id").alias("entry_ord"), F.when(F.col("id") == 20_005, "d/same.dat").otherwise("e/same.dat").alias("path"))
+    out = similarity.name_candidates(new, old)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["entry_ord"], []).append((r["rank"], r["old_entry_ord"], r["score"]))
+    latest = [(22_999, 8), (22_998, 8)]
+    want = [(k, *x) for k, x in enumerate([(20_005, 1 << 30), *latest], 1)]
+    assert len(got) == 3002 and all(sorted(got[k]) == want for k in (0, 2999, 9001))
+    assert sorted(got[9000]) == [(k, o, 4) for k, o in enumerate((22_999, 22_998, 22_997), 1)]
