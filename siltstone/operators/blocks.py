@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 
+#: Bytes of contents that a worker has in Python's hands at once; a batch of 10,000 long ones is too much.
+SLICE = 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of some `SLICE` bytes of their binary columns, or one longer row."""
+    for b in batches:
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(size), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + SLICE, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 
 def offsets(parts: DataFrame, by: str, order: str, size: str) -> DataFrame:
     """parts with `off`: the sum of the sizes before within `by`."""
@@ -51,21 +72,36 @@ def fill_blocks(chunks: DataFrame, by: str = "archive_id", block: int = 1 << 20)
 def delta_depths(chunks: DataFrame, by: str = "archive_id", most: int = 6) -> DataFrame:
     """chunks (by, ix, base: ix of an earlier chunk or null) with `depth` and whether the chain is still short enough to extend."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        depth: dict[int, int] = {}
-        for ix, base in zip(pdf.sort_values("ix")["ix"], pdf.sort_values("ix")["base"]):
-            d = depth.get(int(base), 0) + 1 if pd.notna(base) else 0
-            depth[int(ix)] = 0 if d > most else d
-        return pdf.assign(depth=pdf["ix"].map(depth))[[by, "ix", "depth"]]
-
-    return chunks.select(by, "ix", "base").groupBy(by).applyInPandas(walk, f"{by} long, ix long, depth int")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, depth, size = None, np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+        for b in batches:
+            out = []
+            for key, ix, base in zip(*(c.to_pylist() for c in b.columns)):
+                if key != now:
+                    now, size = key, 0
+                d = 0
+                if base is not None:
+                    # most chunks have the one before as their base
+                    k = size - 1 if size and seen[size - 1] == base else bisect_left(seen, base, 0, size)
+                    d = int(depth[k]) + 1 if k < size and seen[k] == base else 1
+                d = 0 if d > most else d
+                if size == len(seen):
+                    seen, depth = np.resize(seen, 2 * size + 1024), np.resize(depth, 2 * size + 1024)
+                seen[size], depth[size] = ix, d
+                size += 1
+                out.append(d)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], [by, "ix", "depth"])
+
+    # an archive's rows come in order as a stream: of the earlier ones only 12 bytes each stay
+    ordered = chunks.select(F.col(by).cast("long").alias(by), F.col("ix").cast("long").alias("ix"), F.col("base").cast("long").alias("base")).repartition(by).sortWithinPartitions(by, "ix", F.desc("base"))
+    return ordered.mapInArrow(rows, f"{by} long, ix long, depth int")
 
 
 def compress(parts: DataFrame, level: int = 19, effort: int = 5) -> DataFrame:
     """parts (key, data) as key, codec, clen, ulen, payload: the shortest of the codecs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = [kernels.best(x.as_py() or b"", level, effort) for x in b.column(1)]
             size = [len(x.as_py() or b"") for x in b.column(1)]
             cols = [b.column(0), pa.array([c for c, _ in out], pa.int32()), pa.array([len(z) for _, z in out], pa.int64()), pa.array(size, pa.int64()), pa.array([z for _, z in out], pa.binary())]
@@ -78,7 +114,7 @@ def decompress(blobs: DataFrame) -> DataFrame:
     """(key, data) of blobs (key, codec, ulen, payload); a size that is not the stated one is an error."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             data = [kernels.decode(z, c, n) for c, n, z in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["key", "data"])
 
@@ -89,7 +125,7 @@ def recoded(parts: DataFrame, codec: int, level: int = 9, dictionary: bytes = b"
     """parts (key, data) through one codec and back: key, clen, data; dictionary: for the codecs that take one."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             data = [x.as_py() or b"" for x in b.column(1)]
             packed = [kernels.encode(x, codec, level, dictionary) for x in data]
             back = [kernels.decode(z, codec, len(x), dictionary) for x, z in zip(data, packed)]
@@ -102,7 +138,7 @@ def deltas(pairs: DataFrame, level: int = 9) -> DataFrame:
     """pairs (key, data, base) with the data coded against its base as a prefix, and back: key, clen, alone, data."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for x, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 z, alone = kernels.encode(x or b"", 5 if d else 1, level, d or b""), len(kernels.encode(x or b"", 1, level))

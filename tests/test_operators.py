@@ -155,3 +155,23 @@ def test_grep_knows_words_and_line_ends_as_its_sql_does(spark):
     assert found(r"\Bation") == [(5, "nation  ")]
     assert found("a.tion$") == [(6, "a\u0085tion")] and found("n$") == [(3, "éation"), (6, "a\u0085tion")]
     assert found(r"\Q(b\E") == found(r"[\\][b]\] [(]b\b") == [(7, "x [\\b] (b")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repair_meets_pieces_without_a_join(spark):
+    rng = __import__("random").Random(5)
+    data = {f"r{k}": rng.randbytes(n) for k, n in enumerate([0, 1, 255, 256, 257, 1024, 1025, 5000, 70_001])}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "set_id string, payload binary")
+    made = volumes.split(df, 4, 2, 256)
+    fixed = volumes.repaired(made.where("(stripe + slot) % 3 > 0"), made, 4, 2)
+    assert "Join" not in _plan(fixed) and "Exchange" not in _plan(made)
+    assert {r["set_id"]: bytes(r["payload"]) for r in volumes.joined(fixed, 4).collect()} == data
+    assert fixed.exceptAll(made).count() == 0 and fixed.count() == made.count()
+    few = volumes.repaired(made.where("slot > 2"), made, 4, 2)  # too few where three data pieces are gone
+    assert few.where("stripe < 3 and set_id = 'r8'").count() == 9
+    wrong = made.withColumn("h", F.when((F.col("set_id") == "r5") & (F.col("slot") == 0), F.sha2(F.lit("x"), 256)).otherwise(F.col("h")))
+    with pytest.raises(Exception, match="not the expected ones"):
+        volumes.repaired(made.where("slot > 1"), wrong, 4, 2).count()
