@@ -175,3 +175,9 @@ def test_repair_meets_pieces_without_a_join(spark):
     wrong = made.withColumn("h", F.when((F.col("set_id") == "r5") & (F.col("slot") == 0), F.sha2(F.lit("x"), 256)).otherwise(F.col("h")))
     with pytest.raises(Exception, match="not the expected ones"):
         volumes.repaired(made.where("slot > 1"), wrong, 4, 2).count()
+
+
+def test_join_copies_each_byte_once(spark):
+    df = spark.createDataFrame([("a", bytearray(bytes(range(256)) * 40))], "set_id string, payload binary")
+    out = volumes.joined(volumes.split(df, 4, 2, 64), 4)
+    assert "concat(" not in _plan(out) and bytes(out.first()["payload"]) == bytes(range(256)) * 40
