@@ -181,3 +181,12 @@ def test_join_copies_each_byte_once(spark):
     df = spark.createDataFrame([("a", bytearray(bytes(range(256)) * 40))], "set_id string, payload binary")
     out = volumes.joined(volumes.split(df, 4, 2, 64), 4)
     assert "concat(" not in _plan(out) and bytes(out.first()["payload"]) == bytes(range(256)) * 40
+
+
+def test_sidecars_are_cut_in_place_and_matrices_kept(spark):
+    df = spark.createDataFrame([(str(n), bytearray(bytes(range(250)) * n)) for n in range(120)], "set_id string, payload binary").coalesce(1)
+    out = volumes.sidecars(df, 100, 0.1)
+    assert "Exchange" not in _plan(out)
+    n = {r["set_id"]: (r["d"], r["p"]) for r in out.groupBy("set_id").agg(F.count_if(~F.col("is_parity")).alias("d"), F.count_if("is_parity").alias("p")).collect()}
+    assert n["0"] == (1, 1) and n["4"] == (10, 1) and n["119"] == (298, 20 + 10)
+    assert kernels.coding_matrix.cache_parameters()["maxsize"] >= volumes.STRIPE_PIECES
