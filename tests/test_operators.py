@@ -190,3 +190,13 @@ def test_sidecars_are_cut_in_place_and_matrices_kept(spark):
     n = {r["set_id"]: (r["d"], r["p"]) for r in out.groupBy("set_id").agg(F.count_if(~F.col("is_parity")).alias("d"), F.count_if("is_parity").alias("p")).collect()}
     assert n["0"] == (1, 1) and n["4"] == (10, 1) and n["119"] == (298, 20 + 10)
     assert kernels.coding_matrix.cache_parameters()["maxsize"] >= volumes.STRIPE_PIECES
+
+
+def test_codecs_take_long_batches_in_slices():
+    import pyarrow as pa
+
+    texts = [b"x" * n for n in (0, 10, blocks.SLICE // 2, blocks.SLICE // 2, 3 * blocks.SLICE, 5)] + [None]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["key", "data"])
+    got = list(blocks.slices(iter([b])))
+    assert [r for s in got for r in s.column(0).to_pylist()] == list(range(len(texts))) and len(got) == 4
+    assert max(sum(len(x or b"") for x in s.column(1).to_pylist()) for s in got if s.num_rows > 1) <= blocks.SLICE
