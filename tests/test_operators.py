@@ -200,3 +200,24 @@ def test_codecs_take_long_batches_in_slices():
     got = list(blocks.slices(iter([b])))
     assert [r for s in got for r in s.column(0).to_pylist()] == list(range(len(texts))) and len(got) == 4
     assert max(sum(len(x or b"") for x in s.column(1).to_pylist()) for s in got if s.num_rows > 1) <= blocks.SLICE
+
+
+def test_large_files_are_hashed_as_streams(spark, tmp_path, monkeypatch):
+    import gzip
+    import random
+
+    rng, at = random.Random(2), tmp_path / "in put+%20"
+    at.mkdir()
+    data = {"a": rng.randbytes(300_000), "b": b"\n" * 5000, "c x+y%41": b"no line feed" * 900, "d": b"\xef\xbb\xbfmarked\n" * 700, "e": b"\xef\xbb\xbfmarked" + b"\r\n\0" * 3000, "f.gz": gzip.compress(rng.randbytes(9000)), "h": b"small"}
+    for k, v in data.items():
+        (at / k).write_bytes(v)
+    monkeypatch.setattr(files, "WHOLE", 1000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = files.hashed(spark, str(at))
+        assert {r["path"]: (r["size"], r["h"]) for r in got.collect()} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in data.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    plan = files.collect_inputs(spark, str(at)).select("path", "size", "data")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
