@@ -221,3 +221,13 @@ def test_large_files_are_hashed_as_streams(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     plan = files.collect_inputs(spark, str(at)).select("path", "size", "data")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_deltas_keep_no_compressor_of_a_base(spark):
+    before = kernels._compressor.cache_info().currsize
+    for k in range(20):
+        z = kernels.encode(b"abc" * 50, 5, 9, bytes([k]) * 500)
+        assert kernels.decode(z, 5, 150, bytes([k]) * 500) == b"abc" * 50
+    assert kernels._compressor.cache_info().currsize == before
+    df = spark.createDataFrame([(k, "x" * (blocks.SLICE // 2), "y" * (blocks.SLICE // 2) if k else None) for k in range(4)], "key long, data string, base string")
+    assert [bytes(r["data"]) for r in blocks.deltas(df).orderBy("key").collect()] == [b"x" * (blocks.SLICE // 2)] * 4
