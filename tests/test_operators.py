@@ -231,3 +231,10 @@ def test_deltas_keep_no_compressor_of_a_base(spark):
     assert kernels._compressor.cache_info().currsize == before
     df = spark.createDataFrame([(k, "x" * (blocks.SLICE // 2), "y" * (blocks.SLICE // 2) if k else None) for k in range(4)], "key long, data string, base string")
     assert [bytes(r["data"]) for r in blocks.deltas(df).orderBy("key").collect()] == [b"x" * (blocks.SLICE // 2)] * 4
+
+
+def test_xz_tables_are_as_large_as_the_content_needs():
+    assert [kernels._xz(n, 6)["dict_size"] for n in (0, 5000, 1 << 30)] == [4096, 8192, 8 << 20]
+    for codec, level in ((6, 3), (6, 19), (2, 19)):
+        for data in (b"", b"x", bytes(range(256)) * 700):
+            assert kernels.decode(kernels.encode(data, codec, level), codec, len(data)) == data
