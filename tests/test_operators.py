@@ -238,3 +238,9 @@ def test_xz_tables_are_as_large_as_the_content_needs():
     for codec, level in ((6, 3), (6, 19), (2, 19)):
         for data in (b"", b"x", bytes(range(256)) * 700):
             assert kernels.decode(kernels.encode(data, codec, level), codec, len(data)) == data
+
+
+def test_compress_gives_rows_in_slices(spark):
+    df = spark.range(4).select(F.col("id").alias("key"), F.repeat(F.lit("ab"), blocks.SLICE // 2).alias("data")).coalesce(1)
+    out = blocks.compress(df, 3, 2)
+    assert {(r["key"], r["ulen"]) for r in out.collect()} == {(k, blocks.SLICE) for k in range(4)}
