@@ -244,3 +244,8 @@ def test_compress_gives_rows_in_slices(spark):
     df = spark.range(4).select(F.col("id").alias("key"), F.repeat(F.lit("ab"), blocks.SLICE // 2).alias("data")).coalesce(1)
     out = blocks.compress(df, 3, 2)
     assert {(r["key"], r["ulen"]) for r in out.collect()} == {(k, blocks.SLICE) for k in range(4)}
+
+
+def test_decompress_takes_slices_of_odd_contents(spark):
+    df = spark.createDataFrame([(0, None), (1, ""), (2, "z" * (blocks.SLICE + 1))], "key long, data string")
+    assert {r["key"]: len(r["data"]) for r in blocks.decompress(blocks.compress(df, 3, 2)).collect()} == {0: 0, 1: 0, 2: blocks.SLICE + 1}
