@@ -249,3 +249,10 @@ def test_compress_gives_rows_in_slices(spark):
 def test_decompress_takes_slices_of_odd_contents(spark):
     df = spark.createDataFrame([(0, None), (1, ""), (2, "z" * (blocks.SLICE + 1))], "key long, data string")
     assert {r["key"]: len(r["data"]) for r in blocks.decompress(blocks.compress(df, 3, 2)).collect()} == {0: 0, 1: 0, 2: blocks.SLICE + 1}
+
+
+def test_contents_share_a_compressor():
+    made = kernels._compressor.cache_info().misses
+    for _ in range(50):
+        kernels.encode(b"some text", 1, 7)
+    assert kernels._compressor.cache_info().misses <= made + 1
