@@ -256,3 +256,14 @@ def test_contents_share_a_compressor():
     for _ in range(50):
         kernels.encode(b"some text", 1, 7)
     assert kernels._compressor.cache_info().misses <= made + 1
+
+
+def test_depths_of_long_chains_come_as_a_stream(spark):
+    df = spark.range(25_000).select((F.col("id") % 2).alias("archive_id"), F.col("id").alias("ix"), F.when(F.col("id") % 50 > 1, F.when(F.col("id") % 50 == 9, F.col("id") + 2).when(F.col("id") % 50 == 48, F.col("id") - 8).otherwise(F.col("id") - 2)).alias("base"))
+    want = {}
+    for ix in range(25_000):
+        base = None if ix % 50 < 2 else ix + 2 if ix % 50 == 9 else ix - 8 if ix % 50 == 48 else ix - 2
+        d = 0 if base is None else want.get(base, 0) + 1
+        want[ix] = 0 if d > 6 else d
+    out = blocks.delta_depths(df)
+    assert {r["ix"]: r["depth"] for r in out.collect()} == want and "FlatMapGroupsInPandas" not in _plan(out)
