@@ -215,8 +215,9 @@ def test_large_files_are_hashed_as_streams(spark, tmp_path, monkeypatch):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
     try:
-        got = files.hashed(spark, str(at))
-        assert {r["path"]: (r["size"], r["h"]) for r in got.collect()} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in data.items()}
+        for root in (str(at), f"file://{at}/"):
+            got = files.hashed(spark, root)
+            assert {r["path"]: (r["size"], r["h"]) for r in got.collect()} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in data.items()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     plan = files.collect_inputs(spark, str(at)).select("path", "size", "data")._jdf.queryExecution().optimizedPlan().toString()
